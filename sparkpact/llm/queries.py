@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkpact.llm import bpe, decontamination, language_model, simhash, toxicity, vector_search, warc
+from sparkpact.llm import bpe, decontamination, language_model, licenses, simhash, toxicity, vector_search, warc
 from sparkpact.llm.common import read_table
 
 
@@ -17,6 +17,26 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read_table(spark, sf_dir, "documents"))
+
+
+def license_sql() -> str:
+    """Whole documents against whole templates, by their sets of shingles."""
+    values = ", ".join("('{}', '{}')".format(name, text.replace("'", "''")) for name, text in sorted(licenses.TEMPLATES.items()))
+    words = "list_filter(string_split_regex(lower({}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '')"
+    return f"""
+        WITH t AS (SELECT license, {words.format("text")} AS w FROM (VALUES {values}) v(license, text)),
+        ts AS (SELECT DISTINCT license, array_to_string(w[i : i + 4], ' ') AS s FROM (SELECT license, w, unnest(range(1, len(w) - 3)) AS i FROM t)),
+        tn AS (SELECT license, count(*) AS n_shingles FROM ts GROUP BY license),
+        d AS (SELECT doc_id, {words.format("coalesce(text, '')")} AS w FROM documents),
+        ds AS (SELECT doc_id, i - 1 AS pos, array_to_string(w[i : i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) >= 5)),
+        m AS (SELECT doc_id, license, count(DISTINCT s) AS n_found, min(pos)::BIGINT AS first_word, max(pos)::BIGINT + 4 AS last_word FROM ds JOIN ts USING (s) GROUP BY doc_id, license)
+        SELECT doc_id, license, n_shingles, n_found, n_found / n_shingles AS containment, first_word, last_word
+        FROM m JOIN tn USING (license) WHERE n_found / n_shingles >= 0.8
+    """
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_and_read(read_table(spark, sf_dir, "pages"))
 
@@ -53,6 +73,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_license_scan": op1_license_scan,
     "op2_warc": op2_warc,
     "op3_bpe": op3_bpe,
     "op4_simhash": op4_simhash,
@@ -64,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_license_scan": license_sql(),
     "op2_warc": """
         WITH p AS (
             SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
