@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkpact.llm import bpe, decontamination, language_model, licenses, simhash, toxicity, vector_search, warc
+from sparkpact.llm import bpe, chat, decontamination, html_text, language_model, licenses, simhash, toxicity, vector_search, warc
 from sparkpact.llm.common import read_table
 
 
@@ -53,6 +53,13 @@ def op5_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.score_texts(read_table(spark, sf_dir, "documents"))
 
 
+def op6_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each conversation's last reply against an echo; spans as text, start-end joined by commas."""
+    pairs = chat.preference_pairs(*chat.echo_rejections(read_table(spark, sf_dir, "conversations")))
+    as_text = lambda c: F.array_join(F.transform(c, lambda s: F.concat(s["start"].cast("string"), F.lit("-"), s["end"].cast("string"))), ",")
+    return pairs.withColumns({c: as_text(c) for c in ("chosen_spans", "rejected_spans")})
+
+
 def op7_pivot_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_search.top_k(read_table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
 
@@ -66,6 +73,10 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scores(docs, toxicity.train(docs, read_table(spark, sf_dir, "labels")))
 
 
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(read_table(spark, sf_dir, "pages"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -78,9 +89,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bpe": op3_bpe,
     "op4_simhash": op4_simhash,
     "op5_language_model": op5_language_model,
+    "op6_preference_pairs": op6_preference_pairs,
     "op7_pivot_top_k": op7_pivot_top_k,
     "op8_decontamination": op8_decontamination,
     "op9_toxicity": op9_toxicity,
+    "op10_html_text": op10_html_text,
     "pipeline": pipeline,
 }
 
@@ -98,6 +111,24 @@ ORACLE_SQL: dict[str, str] = {
                CASE WHEN page_id <> first_id THEN first_id END AS refers_to
         FROM r
     """,
+    "op6_preference_pairs": """
+        WITH t AS (SELECT conv_id, turn, role, replace(text, '<|', '< |') AS text FROM conversations),
+        l AS (SELECT conv_id, max(turn) AS last FROM t WHERE role = 'assistant' GROUP BY conv_id),
+        u AS (SELECT t.*, last FROM t JOIN l USING (conv_id) WHERE turn <= last),
+        s AS (
+            SELECT conv_id, 0::BIGINT AS part, max(text) FILTER (turn = last) AS reply, coalesce(arg_max(text, turn) FILTER (turn < last), '') AS echo,
+                   count(*) FILTER (turn < last)::INTEGER AS prompt_turns,
+                   coalesce(string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '' ORDER BY turn) FILTER (turn < last), '') AS prompt
+            FROM u GROUP BY conv_id
+        )
+        SELECT conv_id, part, prompt_turns + (reply = echo)::INTEGER AS prompt_turns,
+               prompt || CASE WHEN reply = echo THEN '<|im_start|>assistant' || chr(10) || reply || '<|im_end|>' || chr(10) ELSE '' END AS prompt,
+               CASE WHEN reply = echo THEN '' ELSE '<|im_start|>assistant' || chr(10) || reply || '<|im_end|>' || chr(10) END AS chosen,
+               CASE WHEN reply = echo THEN '' ELSE '<|im_start|>assistant' || chr(10) || echo || '<|im_end|>' || chr(10) END AS rejected,
+               CASE WHEN reply = echo THEN '' ELSE '22-' || (32 + length(reply)) END AS chosen_spans,
+               CASE WHEN reply = echo THEN '' ELSE '22-' || (32 + length(echo)) END AS rejected_spans
+        FROM s
+    """,
     "op7_pivot_top_k": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda c: floor(1024 * c::DOUBLE)::BIGINT) AS x
