@@ -26,7 +26,7 @@ from sparkpact.llm.bpe import groups
 from sparkpact.llm.common import fold_of
 
 #: Labelled rows to learn from, at most, and the longest text among them.
-SAMPLE_ROWS = 8_000
+SAMPLE_ROWS = 4_000
 SAMPLE_CHARS = 20_000
 FEATURES = 4_000
 #: Words a worker remembers the features of; bounds memory, not results.
@@ -166,10 +166,10 @@ def fit(texts: list[str | None], labels: list[int], l2: float = 0.5, counterfact
     if not len(y) or y.min() == y.max():
         share = min(max(float(y.mean()) if len(y) else 0.0, 0.01), 0.99)
         return ToxicityModel(float(np.log(share / (1 - share))), 0.0, {})
-    rows = [counts_of(WORD.findall((t or "").lower())) for t in texts]
+    words = [WORD.findall((t or "").lower()) for t in texts]
     with_label, without = Counter(), Counter()
-    for r, label in zip(rows, labels, strict=True):
-        (with_label if label else without).update(r.keys())
+    for ws, label in zip(words, labels, strict=True):
+        (with_label if label else without).update({f for w in set(ws) for f in features_of(w)})
     n1, n0 = y.sum(), len(y) - y.sum()
     # by how far the shares of texts with the feature lie apart, in standard errors
     def gap(f: str) -> float:
@@ -183,8 +183,8 @@ def fit(texts: list[str | None], labels: list[int], l2: float = 0.5, counterfact
     chosen += sorted({f for t in KIND_OF for f in features_of(t) if f in with_label or f in without}.difference(chosen))
     at = {f: k for k, f in enumerate(chosen)}
     width = len(chosen) + 2
-    as_row = lambda r, n: [(at[f], np.log1p(c)) for f, c in r.items() if f in at] + [(width - 2, np.log1p(n)), (width - 1, 1.0)]
-    x = Sparse([as_row(r, len(WORD.findall((t or "").lower()))) for r, t in zip(rows, texts, strict=True)], width)
+    as_row = lambda ws: [(at[f], np.log1p(c)) for f, c in counts_of(ws).items() if f in at] + [(width - 2, np.log1p(len(ws))), (width - 1, 1.0)]
+    x = Sparse([as_row(ws) for ws in words], width)
     swaps = []
     for t in texts:
         for own, other in twins(t or ""):
