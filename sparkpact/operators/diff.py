@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from sparkpact.functions.normalize import canonical, same_body
 from sparkpact.functions.types import canonical_type
-from sparkpact.sources.catalog import KINDS, Catalog, Obj
+from sparkpact.sources.catalog import KINDS, Catalog, Obj, parsed
 
 OP_SCHEMA = "op string, kind string, key string, schema string, parent string, name string, changed array<string>, old map<string,string>, new map<string,string>"
 
@@ -29,7 +29,7 @@ def compared(o: Obj) -> dict[str, str]:
             if o.kind == "function":
                 out[a] = " ".join(text[a].split())
             elif isinstance(o.attrs[a], list):
-                out[a] = json.dumps([canonical(x if isinstance(x, str) else json.dumps(x)) for x in o.attrs[a]])
+                out[a] = json.dumps([canonical(x if isinstance(x, str) else json.dumps(x, sort_keys=True)) for x in o.attrs[a]])
             else:
                 out[a] = json.dumps(canonical(text[a]))
     return out
@@ -151,13 +151,7 @@ def apply_ops(current: Catalog, ops: Iterable) -> Catalog:
         if r["op"] == "drop":
             out.remove(r["kind"], r["key"])
         else:
-            attrs = {}
-            for k, v in (r["new"] or {}).items():
-                try:
-                    attrs[k] = json.loads(v) if v[:1] in "[{" or v in ("true", "false") else v
-                except ValueError:
-                    attrs[k] = v
-            out.add(Obj(r["kind"], r["schema"] or "", r["name"], r["parent"] or "", attrs), replace=True)
+            out.add(Obj(r["kind"], r["schema"] or "", r["name"], r["parent"] or "", parsed(r["new"])), replace=True)
     return out
 
 

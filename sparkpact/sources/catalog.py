@@ -64,6 +64,24 @@ KINDS = {
 TABLE_PARTS = ("column", "primary_key", "index", "foreign_key", "check", "exclusion", "trigger", "policy")
 
 
+#: Attributes that are text as they stand; all others are JSON where they are not plain words.
+TEXT = frozenset("data_type default generated expression predicate where query body using check when comment owner on grantee role in_schema object_type constraint_name sfunc finalfunc stype initcond function method command timing enabled language volatility security return_type ref_table on_delete on_update fdw type version schema owned_by collation identity parent old_table new_table parallel".split())
+
+
+def parsed(attrs: dict[str, str] | None) -> dict:
+    """Attributes from their text form."""
+    out = {}
+    for k, v in (attrs or {}).items():
+        if k in TEXT:
+            out[k] = v
+        else:
+            try:
+                out[k] = json.loads(v)
+            except ValueError:
+                out[k] = v
+    return out
+
+
 @dataclass
 class Obj:
     kind: str
