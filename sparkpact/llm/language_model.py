@@ -55,7 +55,7 @@ def squeezed(x: np.ndarray) -> bytes:
 def unsqueezed(b: bytes, kind: type) -> np.ndarray:
     flat = np.frombuffer(zlib.decompress(b), np.uint8)
     size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(flat.reshape(size, -1).T).view(kind).reshape(-1)
+    return flat.reshape(size, -1).T.copy(order="C").view(kind).reshape(-1)
 
 
 def bigram_keys(first: np.ndarray, second: np.ndarray) -> np.ndarray:
