@@ -155,14 +155,14 @@ def test_toxicity_and_counterfactuals(spark, odd):
     texts, labels = [], []
     for k in range(400):
         toxic = k % 4 == 0
-        words = [rnd.choice(plain) for _ in range(12)] + (["vile", "scumbag"] if toxic else [])
+        words = [rnd.choice(plain) for _ in range(10)] + (["vile", "scumbag"] if toxic else ["calm", "evening"])
         if toxic and rnd.random() < 0.7 or not toxic and rnd.random() < 0.05:
             words.append("muslim")  # the term goes with the label in this sample
         texts.append(" ".join(words) + ".")
         labels.append(int(toxic))
     without, with_term = toxicity.fit(texts, labels, counterfactual=0.0), toxicity.fit(texts, labels, counterfactual=50.0)
     gap = lambda m: abs(m.logit("a muslim walk by the river") - m.logit("a christian walk by the river"))
-    assert gap(with_term) < 0.2 * gap(without) and with_term.score("a muslim by the river") < 0.5 < with_term.score("you vile scumbag")
+    assert gap(with_term) < 0.2 * gap(without) and with_term.score("a muslim by the river") < 0.5 < with_term.score("the green table, you vile scumbag, by the old river of stone and paper")
     rows = toxicity.scores(odd, with_term).collect()
     assert len(rows) == odd.count() and all(0 <= r["score"] <= 1 for r in rows)
     assert toxicity.scores(empty(spark), with_term).count() == 0
