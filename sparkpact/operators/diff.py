@@ -29,7 +29,7 @@ def compared(o: Obj) -> dict[str, str]:
             if o.kind == "function":
                 out[a] = " ".join(text[a].split())
             elif isinstance(o.attrs[a], list):
-                out[a] = json.dumps([canonical(x if isinstance(x, str) else json.dumps(x, sort_keys=True)) for x in o.attrs[a]])
+                out[a] = json.dumps([canonical(x) if isinstance(x, str) else {k: canonical(v) for k, v in sorted(x.items())} for x in o.attrs[a]])
             else:
                 out[a] = json.dumps(canonical(text[a]))
     return out
