@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 
 from sparkpact.llm.bpe import groups
 
+#: Words of a shingle; a window of fewer is one shingle.
+SHINGLE = 3
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 #: Windows of one pass over the documents; a larger benchmark takes more passes. Bounds what is sent to executors.
 BLOCK_WINDOWS = 200_000
@@ -38,8 +40,13 @@ def windows_of(words: list[bytes], window: int) -> set[tuple[bytes, ...]]:
     return {tuple(words[k : k + window]) for k in range(max(1, len(words) - window + 1))} if words else set()
 
 
+def shingles_of(words: list[bytes], size: int) -> Iterator[tuple[bytes, ...]]:
+    """Runs of so many words, in order."""
+    return zip(*(words[k:] for k in range(size)), strict=False)
+
+
 class WindowIndex:
-    """Windows of some items under their rarest word."""
+    """Windows of some items under their rarest shingle."""
 
     def __init__(self, items: list[tuple[str, list[bytes]]], window: int, counts: Counter) -> None:
         holders: dict[tuple[bytes, ...], list[int]] = {}
@@ -47,23 +54,27 @@ class WindowIndex:
         for k, (_, words) in enumerate(items):
             for w in windows_of(words, window):
                 holders.setdefault(w, []).append(k)
-        self.by_prefix: dict[bytes, list[tuple[int, int, list[bytes], list[int]]]] = {}
+        #: By size of shingle: prefix shingle to (its place in the window, the window's length, the window, items).
+        self.by_prefix: dict[int, dict[tuple[bytes, ...], list[tuple[int, int, list[bytes], list[int]]]]] = {}
         for w, held in holders.items():
-            # rarest first; ties to the smaller word, then to its first place
-            at = min(range(len(w)), key=lambda p: (counts[w[p]], w[p], p))
-            self.by_prefix.setdefault(w[at], []).append((at, len(w), list(w), held))
+            size = min(SHINGLE, len(w))
+            shingles = [*shingles_of(list(w), size)]
+            # rarest first; ties to the smaller shingle, then to its first place
+            at = min(range(len(shingles)), key=lambda p: (counts[shingles[p]], shingles[p], p))
+            self.by_prefix.setdefault(size, {}).setdefault(shingles[at], []).append((at, len(w), list(w), held))
 
     def match(self, words: list[bytes]) -> tuple[set[int], list[tuple[int, int]]]:
         """Items with an occurring window, and the [start, end) of each occurrence."""
-        by_prefix, n = self.by_prefix, len(words)
+        n = len(words)
         found: set[int] = set()
         spans: list[tuple[int, int]] = []
-        for k in [k for k, w in enumerate(words) if w in by_prefix]:
-            for at, size, window, held in by_prefix[words[k]]:
-                start = k - at
-                if start >= 0 and start + size <= n and words[start : start + size] == window:
-                    found.update(held)
-                    spans.append((start, start + size))
+        for size, prefixes in self.by_prefix.items():
+            for k, shingle in [(k, x) for k, x in enumerate(shingles_of(words, size)) if x in prefixes]:
+                for at, length, window, held in prefixes[shingle]:
+                    start = k - at
+                    if start >= 0 and start + length <= n and words[start : start + length] == window:
+                        found.update(held)
+                        spans.append((start, start + length))
         return found, spans
 
 
@@ -97,20 +108,25 @@ def item_blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[
         yield run
 
 
-def word_counts(docs: DataFrame, text_col: str, vocabulary: set[bytes]) -> Counter:
-    """How often all documents have each word of a bounded vocabulary."""
-    sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
+def shingle_counts(docs: DataFrame, text_col: str, shingles: set[tuple[bytes, ...]]) -> Counter:
+    """How often all documents have each shingle of a bounded set."""
+    by_size: dict[int, set[tuple[bytes, ...]]] = {}
+    for x in shingles:
+        by_size.setdefault(len(x), set()).add(x)
+    sent = docs.sparkSession.sparkContext.broadcast(by_size)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
         for batch in batches:
             for texts in groups(batch.column(0)):
                 for text in texts:
-                    seen.update(filter(sent.value.__contains__, words_of(text)))
-        yield pa.RecordBatch.from_arrays([pa.array([*seen], pa.binary()), pa.array([*seen.values()], pa.int64())], ["word", "n"])
+                    words = words_of(text)
+                    for size, wanted in sent.value.items():
+                        seen.update(filter(wanted.__contains__, shingles_of(words, size)))
+        yield pa.RecordBatch.from_arrays([pa.array([b" ".join(x) for x in seen], pa.binary()), pa.array([*seen.values()], pa.int64())], ["shingle", "n"])
 
-    counted = docs.select(text_col).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return Counter({bytes(w): n for w, n in counted.toLocalIterator()})
+    counted = docs.select(text_col).mapInArrow(run, "shingle binary, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    return Counter({tuple(bytes(x).split(b" ")): n for x, n in counted.toLocalIterator()})
 
 
 def indexes(docs: DataFrame, benchmark: DataFrame, window: int, text_col: str, item_col: str, item_text_col: str) -> list:
@@ -118,7 +134,7 @@ def indexes(docs: DataFrame, benchmark: DataFrame, window: int, text_col: str, i
     context = docs.sparkSession.sparkContext
     out = []
     for items in item_blocks(benchmark, item_col, item_text_col):
-        counts = word_counts(docs, text_col, {w for _, words in items for w in words})
+        counts = shingle_counts(docs, text_col, {x for _, words in items for x in shingles_of(words, min(SHINGLE, len(words), window))})
         out.append(context.broadcast(WindowIndex(items, window, counts)))
     return out or [context.broadcast(WindowIndex([], window, Counter()))]
 
