@@ -28,7 +28,7 @@ from sparkpact.llm.common import fold_of
 #: Labelled rows to learn from, at most, and the longest text among them.
 SAMPLE_ROWS = 4_000
 SAMPLE_CHARS = 20_000
-FEATURES = 4_000
+FEATURES = 1_000
 #: Words a worker remembers the features of; bounds memory, not results.
 MEMO_WORDS = 400_000
 
