@@ -197,13 +197,18 @@ class IndexReader:
         self.directory: list[tuple[str, str, int, int]] = []
         self.lines: list[tuple[str, ...]] = []
 
-    def block(self, shard: int, number: int) -> list[tuple[str, ...]]:
+    def enter(self, shard: int) -> None:
+        """Read a shard's directory, unless it is at hand."""
         if shard != self.at:
             store, path = opened(self.shards[shard][3])
             with store.open_input_stream(path, compression=None) as f:
                 self.directory = [(k, p, int(o), int(n)) for k, p, o, n in (line.split("\t") for line in f.read().decode().splitlines())]
             self.heads = [(k, p) for k, p, _, _ in self.directory]
             self.at = shard
+
+    def block(self, shard: int, number: int) -> list[tuple[str, ...]]:
+        """Lines of a block, read by its range, unless they are at hand."""
+        self.enter(shard)
         if self.block_at != (shard, number):
             store, path = opened(self.shards[shard][2])
             with store.open_input_file(path) as f:
@@ -221,7 +226,7 @@ class IndexReader:
         out: list[tuple[str, int, int]] = []
         shard = bisect_right(self.firsts, wanted) - 1
         while shard >= 0:
-            self.block(shard, 0)
+            self.enter(shard)
             number = bisect_right(self.heads, wanted) - 1
             while number >= 0:
                 lines = self.block(shard, number)
