@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkpact.operators.pinned import pinned
+
 
 def _all_set(keys: Sequence[str]) -> Column:
     out = F.lit(True)
@@ -179,8 +181,9 @@ def version_view(df: DataFrame, mappings: Sequence[tuple[str, str]]) -> DataFram
 
 def assign_sequence(df: DataFrame, order: Sequence[Column | str], name: str = "seq", start: int = 1, increment: int = 1, low: int | None = None, high: int | None = None, cycle: bool = False) -> DataFrame:
     """Sequence values in a given order, without one task that sees all rows: rows are sorted into
-    ranges, each range is numbered by itself, and a small table of range sizes gives the offsets."""
-    parts = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id() - F.shiftleft(F.col("_part").cast("long"), 33))
+    ranges, each range is numbered by itself, and a small table of range sizes gives the offsets.
+    Ranges are drawn by sampling, so the numbered rows are written once and used twice."""
+    parts = pinned(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id() - F.shiftleft(F.col("_part").cast("long"), 33)))
     sizes = parts.groupBy("_part").agg(F.count("*").alias("_n"))
     before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
     number = F.col("_before") + F.col("_at")

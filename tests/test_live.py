@@ -115,6 +115,8 @@ def test_contracts_on_nulls(spark):
     assert [tuple(r) for r in routes] == [("p", "high"), ("p", "high"), ("p", "high"), ("rest", "rest"), ("rest", "rest")]
     seq = C.assign_sequence(spark.range(50).withColumnRenamed("id", "k"), ["k"], start=5, increment=-2).orderBy("k").collect()
     assert [r["seq"] for r in seq] == [5 - 2 * k for k in range(50)]
+    wide = C.assign_sequence(spark.range(20_000).select((F.col("id") * 7919 % 20_000).alias("k"), F.lit("x").alias("extra")).repartition(8), ["k"])
+    assert wide.where("seq <> k + 1").count() == 0 and wide.count() == 20_000
     spans = spark.createDataFrame([(1, "r", 0.0, 10.0), (2, "r", 9.0, 12.0), (3, "r", 10.0, 11.0), (4, "q", 0.0, 50.0)], "id int, room string, lo double, hi double")
     assert sorted(tuple(r) for r in C.exclusion_conflicts(spans, "id", ["room"], F.col("lo"), F.col("hi"), 4.0).collect()) == [(1, 2), (2, 3)]
     assert C.apply_policies(df, [{"command": "SELECT", "using": F.col("a") == 1}], "INSERT", "x").count() == 0
