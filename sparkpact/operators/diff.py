@@ -41,8 +41,14 @@ def relation(spark: SparkSession, catalog: Catalog) -> DataFrame:
     return spark.createDataFrame(rows, "kind string, key string, schema string, parent string, name string, attrs map<string,string>, compared map<string,string>")
 
 
-def spec_relation(spark: SparkSession) -> DataFrame:
-    rows = [(k.name, k.on_change, k.tier, [*k.compare, *k.expressions], list(k.optional)) for k in KINDS.values()]
+#: What the compatible mode compares of a kind, where that is less: foreign keys by name only, no
+#: extension versions, partition bounds, domain types or policy commands.
+COMPAT_FIELDS = {"foreign_key": (), "extension": (), "partition": (), "table": ("rls", "force_rls"), "domain": ("default", "not_null"), "policy": ("roles", "using", "check")}
+
+
+def spec_relation(spark: SparkSession, compat: bool = False) -> DataFrame:
+    fields = lambda k: list(COMPAT_FIELDS[k.name]) if compat and k.name in COMPAT_FIELDS else [*k.compare, *k.expressions]
+    rows = [(k.name, k.on_change, k.tier, fields(k), list(k.optional)) for k in KINDS.values()]
     return spark.createDataFrame(rows, "kind string, on_change string, tier int, fields array<string>, optional array<string>")
 
 
@@ -75,10 +81,16 @@ def diff_relations(current: DataFrame, target: DataFrame, specs: DataFrame) -> D
     return rows.select(F.explode(ops).alias("op"), "kind", "key", pick("schema"), pick("parent"), pick("name"), "changed", F.col("c_attrs").alias("old"), F.col("t_attrs").alias("new"))
 
 
-def diff(spark: SparkSession, current: Catalog, target: Catalog, manage_ownership: bool = True, manage_grants: bool = True, excluded_roles: Sequence[str] = ()) -> DataFrame:
-    """Operations from current to target, with what dropped or altered objects force along."""
+def diff(spark: SparkSession, current: Catalog, target: Catalog, manage_ownership: bool = True, manage_grants: bool = True, excluded_roles: Sequence[str] = (), compat: bool = False) -> DataFrame:
+    """Operations from current to target, with what dropped or altered objects force along.
+
+    compat: compare only what COMPAT_FIELDS says, and of enums only values that were added.
+    """
     skip = (() if manage_ownership else ("owner",)) + (() if manage_grants else ("grant", "default_privilege"))
-    ops = diff_relations(relation(spark, current), relation(spark, target), spec_relation(spark)).where(~F.col("kind").isin(*skip, ""))
+    ops = diff_relations(relation(spark, current), relation(spark, target), spec_relation(spark, compat)).where(~F.col("kind").isin(*skip, ""))
+    if compat:
+        values = lambda side: F.from_json(F.col(side)["values"], "array<string>")
+        ops = ops.where(~((F.col("kind") == "enum") & (F.col("op") == "alter")) | (F.size(F.array_except(values("new"), values("old"))) > 0))
     if excluded_roles:
         ops = ops.where(~((F.col("kind") == "grant") & F.lower(F.coalesce(F.col("new")["grantee"], F.col("old")["grantee"])).isin([r.lower() for r in excluded_roles])))
     # what a table holds goes with the table

@@ -151,6 +151,15 @@ def test_changes(spark):
     assert sql(spark, "CREATE VIEW v AS SELECT a FROM t WHERE (a = ANY (ARRAY[1, 2]));", "CREATE VIEW v AS select a from public.t where a in (1, 2);") == []
 
 
+def test_compatible_mode_sees_less(spark):
+    one = parse_ddl("CREATE TYPE e AS ENUM ('a', 'b'); CREATE DOMAIN d AS text; CREATE TABLE p (id int PRIMARY KEY); CREATE TABLE c (p int REFERENCES p (id)); CREATE POLICY x ON p FOR SELECT USING (true);")
+    two = parse_ddl("CREATE TYPE e AS ENUM ('b', 'a'); CREATE DOMAIN d AS integer; CREATE TABLE p (id int PRIMARY KEY); CREATE TABLE c (p int REFERENCES p (id) ON DELETE CASCADE); CREATE POLICY x ON p FOR UPDATE USING (true);")
+    assert {r["kind"] for r in diff(spark, one, two).collect()} == {"enum", "domain", "foreign_key", "policy"}
+    assert diff(spark, one, two, compat=True).count() == 0
+    three = parse_ddl("CREATE TYPE e AS ENUM ('a', 'c', 'b');")
+    assert diff(spark, parse_ddl("CREATE TYPE e AS ENUM ('a', 'b');"), three, compat=True).count() == 1
+
+
 def test_cycles(spark):
     ring = parse_ddl("CREATE TABLE a (id int PRIMARY KEY); CREATE TABLE b (id int PRIMARY KEY, a int REFERENCES a (id)); ALTER TABLE a ADD COLUMN b int REFERENCES b (id);")
     assert circular_foreign_keys(ring) == ["public.a", "public.b"]
