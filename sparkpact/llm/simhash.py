@@ -3,7 +3,7 @@
 Two fingerprints within ``budget`` differing bits agree on at least ``BLOCKS - budget`` of BLOCKS
 blocks of their bits, whichever bits differ. So for each choice of that many blocks the
 fingerprints are keyed by those blocks' bits; a key is the root of one binary trie over the other
-bits. Tries are joined with themselves in parallel: pairs of nodes are walked down together, the
+bits, and where it holds very many fingerprints it is split the same way over those. Tries are joined with themselves in parallel: pairs of nodes are walked down together, the
 bits in which they differ are added up, and a pair is dropped once it is over the budget.
 Exact copies are one fingerprint, with a count; each task passes on a spanning star of what it
 linked, not its pairs; stars are joined into components by Spark (large-star, small-star).
@@ -26,6 +26,9 @@ from sparkpact.llm.common import drop_saved, saved
 BITS = 64
 BLOCKS = 6
 SEED = 42
+#: A trie of more fingerprints is split by further blocks, at most LEVELS times in all.
+HOT_TRIE = 100_000
+LEVELS = 3
 #: Node pairs walked down at once in a task; more are taken in turns.
 FRONTIER = 500_000
 
@@ -141,36 +144,63 @@ def roots_of(n: int, links: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarr
     return root
 
 
-def block_bounds(blocks: int = BLOCKS) -> list[tuple[int, int]]:
-    """(lowest bit, width) of each block of the 64 bits."""
-    edges = [round(k * BITS / blocks) for k in range(blocks + 1)]
-    return [(x, y - x) for x, y in zip(edges, edges[1:], strict=False)]
+def signed(mask: int) -> int:
+    return mask - (1 << BITS) if mask >> (BITS - 1) else mask
 
 
-def block_keys(fp: Column, budget: int) -> Column:
-    """Array of one key for each choice of blocks that may agree: the choice's number and the blocks' bits."""
+def child_masks(parent: int, budget: int) -> list[int]:
+    """Masks of which each pair within budget, equal under parent, is equal under one at least: the
+    other bits are cut into blocks, and all blocks but as many as may differ are added."""
+    free = [b for b in range(BITS) if not parent >> b & 1]
     blocks = max(BLOCKS, budget + 1)
-    out = []
-    for number, chosen in enumerate(combinations(block_bounds(blocks), blocks - budget)):
-        mask = sum(((1 << width) - 1) << at for at, width in chosen)
-        mask -= 1 << 64 if mask >> 63 else 0
-        out.append(F.struct(F.lit(number).alias("choice"), fp.bitwiseAND(F.lit(mask)).alias("bits")))
-    return F.array(*out)
+    edges = [round(k * len(free) / blocks) for k in range(blocks + 1)]
+    masks = [sum(1 << b for b in free[x:y]) for x, y in zip(edges, edges[1:], strict=False)]
+    return [parent | sum(chosen) for chosen in combinations(masks, blocks - budget)]
+
+
+def block_keys(fp: Column, budget: int) -> Column:
+    """Array of one trie root for each choice of blocks that may agree: its mask, and the bits under it."""
+    return F.array(*(F.struct(F.lit(signed(m)).alias("mask"), fp.bitwiseAND(F.lit(signed(m))).alias("bits")) for m in child_masks(0, budget)))
+
+
+def tries(fps: DataFrame, budget: int) -> DataFrame:
+    """(mask, bits, fp): fingerprints under the roots of their tries.
+
+    A root with more than HOT_TRIE fingerprints is split: its tries go on by the blocks of the bits
+    that are left, so every link stays in some trie. After LEVELS levels over 40 bits are fixed, and
+    a trie holds no more than the fingerprints that the others can tell apart.
+    """
+    rows = fps.select("fp", F.explode(block_keys(F.col("fp"), budget)).alias("key")).select("key.mask", "key.bits", "fp")
+    parents = child_masks(0, budget)
+    done = None
+    for level in range(1, LEVELS + 1):
+        hot = rows.groupBy("mask", "bits").agg(F.count("*").alias("n")).where(F.col("n") > HOT_TRIE).select("mask", "bits")
+        hot = saved(hot, "hot") if level < LEVELS else None
+        if hot is None or not hot.head(1):
+            return rows if done is None else done.unionByName(rows)
+        cold = rows.join(hot, ["mask", "bits"], "left_anti")
+        done = cold if done is None else done.unionByName(cold)
+        # a table of fixed size: the choices of a level
+        pairs = [(signed(p), signed(c)) for p in parents for c in child_masks(p, budget)]
+        table = F.broadcast(fps.sparkSession.createDataFrame(pairs, "mask long, child long"))
+        rows = rows.join(hot, ["mask", "bits"], "left_semi").join(table, "mask").select(F.col("child").alias("mask"), F.col("fp").bitwiseAND(F.col("child")).alias("bits"), "fp").distinct()
+        parents = sorted({c % (1 << BITS) for _, c in pairs})
+    raise AssertionError("not reached")
 
 
 def stars(fps: DataFrame, budget: int) -> DataFrame:
     """(u, v): v is a fingerprint in reach of u and before it, one row for each u in each trie that links it."""
-    keyed = fps.select("fp", F.explode(block_keys(F.col("fp"), budget)).alias("key")).select("key.choice", "key.bits", "fp")
+    keyed = tries(fps, budget)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         size = 0
 
-        def done(choice: np.ndarray, bits: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+        def done(mask: np.ndarray, bits: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
             fp = fp.view(np.uint64)
-            order = np.lexsort((fp, bits, choice))
-            choice, bits, fp = choice[order], bits[order], fp[order]
-            new = np.concatenate(([True], (choice[1:] != choice[:-1]) | (bits[1:] != bits[:-1]))) if len(fp) else np.zeros(0, bool)
+            order = np.lexsort((fp, bits, mask))
+            mask, bits, fp = mask[order], bits[order], fp[order]
+            new = np.concatenate(([True], (mask[1:] != mask[:-1]) | (bits[1:] != bits[:-1]))) if len(fp) else np.zeros(0, bool)
             root = roots_of(len(fp), trie_links(np.cumsum(new), fp, budget))
             linked = np.flatnonzero(root != np.arange(len(root)))
             return pa.RecordBatch.from_arrays([pa.array(fp[x].view(np.int64)) for x in (linked, root[linked])], ["u", "v"])
@@ -182,16 +212,16 @@ def stars(fps: DataFrame, budget: int) -> DataFrame:
             held.append(batch)
             size += batch.num_rows
             if size >= 200_000:  # whole keys are done with; the last one may go on in the next batch
-                choice, bits, fp = columns()
-                ends = np.flatnonzero((choice != choice[-1]) | (bits != bits[-1]))
+                mask, bits, fp = columns()
+                ends = np.flatnonzero((mask != mask[-1]) | (bits != bits[-1]))
                 cut = ends[-1] + 1 if len(ends) else 0
                 if cut:
-                    yield done(choice[:cut], bits[:cut], fp[:cut])
-                    held, size = [pa.RecordBatch.from_arrays([pa.array(x[cut:]) for x in (choice, bits, fp)], ["choice", "bits", "fp"])], len(fp) - cut
+                    yield done(mask[:cut], bits[:cut], fp[:cut])
+                    held, size = [pa.RecordBatch.from_arrays([pa.array(x[cut:]) for x in (mask, bits, fp)], ["mask", "bits", "fp"])], len(fp) - cut
         if held:
             yield done(*columns())
 
-    return keyed.repartition("choice", "bits").sortWithinPartitions("choice", "bits").mapInArrow(run, "u long, v long")
+    return keyed.select("mask", "bits", "fp").repartition("mask", "bits").sortWithinPartitions("mask", "bits").mapInArrow(run, "u long, v long")
 
 
 # -- components ------------------------------------------------------------------------------------
@@ -235,7 +265,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     table: empty result. Other columns are not read.
     """
     prints = saved(fingerprints(docs, id_col, text_col, words_in_shingle), "prints")
-    classes = prints.groupBy("fp").agg(F.min(id_col).alias("first_id"))
+    classes = saved(prints.groupBy("fp").agg(F.min(id_col).alias("first_id")), "classes")
     roots = components(stars(classes.select("fp"), budget))
     rooted = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))

@@ -77,12 +77,37 @@ def test_block_keys_leave_no_pair_out(spark):
         for bit in rnd.sample(range(64), 4):
             b ^= 1 << bit
         pairs.append((a, b))
-    signed = lambda x: x - (1 << 64) if x >> 63 else x
-    df = spark.createDataFrame([(signed(a), signed(b)) for a, b in pairs], "a long, b long")
+    df = spark.createDataFrame([(simhash.signed(a), simhash.signed(b)) for a, b in pairs], "a long, b long")
     shared = df.select(F.arrays_overlap(simhash.block_keys(F.col("a"), 4), simhash.block_keys(F.col("b"), 4)).alias("x"))
     assert all(r["x"] for r in shared.collect())
 
 
+def test_hot_tries_are_split_without_loss(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "HOT_TRIE", 20)
+    rnd = random.Random(8)
+    centre = rnd.getrandbits(64)
+    prints = {centre}
+    while len(prints) < 150:  # one dense group: all links by chains within the budget
+        x = rnd.choice(sorted(prints))
+        for bit in rnd.sample(range(64), 3):
+            x ^= 1 << bit
+        prints.add(x)
+    prints |= {rnd.getrandbits(64) for _ in range(150)}
+    order = sorted(prints)
+    near = {(a, b) for k, a in enumerate(order) for b in order[:k] if (a ^ b).bit_count() <= 4}
+    df = spark.createDataFrame([(simhash.signed(x),) for x in order], "fp long")
+    split = simhash.tries(df, 4)
+    assert {r["mask"].bit_count() for r in split.select("mask").distinct().collect()} != {21}
+    back = lambda x: x % (1 << 64)
+    together = {}
+    for r in split.collect():
+        together.setdefault((r["mask"], r["bits"]), []).append(back(r["fp"]))
+    met = {(max(a, b), min(a, b)) for group in together.values() for k, a in enumerate(group) for b in group[:k]}
+    assert near <= met
+    root = {r["node"]: r["root"] for r in simhash.components(simhash.stars(df, 4)).collect()}
+    assert all(root.get(simhash.signed(a), simhash.signed(a)) == root.get(simhash.signed(b), simhash.signed(b)) for a, b in near)
+
+
 def test_simhash_edge_cases(spark, odd):
     rows = simhash.near_duplicates(odd).collect()
     assert len(rows) == odd.count()
