@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 #: Chunks that a worker remembers before the older half goes; bounds memory, not results.
-MEMO_CHUNKS = 500_000
+MEMO_CHUNKS = 300_000
 #: Longer chunks are encoded each time they occur, so that the memo stays small.
 MEMO_CHARS = 64
 
