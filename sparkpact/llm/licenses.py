@@ -4,8 +4,13 @@ Everything on the main path is a DataFrame function. A document becomes overlapp
 words, a chunk its five-word shingles (as 64-bit hashes), and these overlapping windows of the
 sizes in SCALES. A template is cut into windows of the size of its scale at every offset, so
 that a copy of it, wherever it stands, meets one of them with at least the similarity of
-least_similarity(). Windows are looked up by their bands; what is found is verified: a template
-is reported if the windows around its hits hold at least ``containment`` of its shingles.
+least_similarity(). Windows are looked up by their bands, which retrieves (document, license)
+pairs; a pair is verified over the whole document: a template is reported if the document,
+wherever they stand in it, holds at least ``containment`` of its shingles.
+
+Bands are a matter of chance for copies that are changed, so windows of one shingle retrieve too:
+a document with that share of a template's shingles has one of any so many of them that the rest
+is less than the share. Nothing that verification would report is missed.
 
 The k-th MinHash permutation is h -> h XOR c_k: the shingle nearest to c_k is any of a set's
 with equal chance, since the hashes are random. A band is one such minimum.
@@ -25,8 +30,8 @@ SHINGLE = 5
 CHUNK = 4_096
 
 
-#: Shingles from one row of windows to the next, and those around a window that verification looks at.
-STEP, AROUND = 4, 8
+#: Shingles from one row of windows to the next, and those that a row's windows reach over.
+STEP, REACH = 4, 8
 
 
 @dataclass(frozen=True)
@@ -124,45 +129,52 @@ def template_table(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
     return rows.select("license", F.expr(hashes_sql("text")).alias("hashes")).select("license", F.expr(shingles_sql("hashes")).alias("ordered"))
 
 
-def template_bands(table: DataFrame) -> DataFrame:
-    """(band, license, wanted, n_shingles), for the bands of every window at every offset."""
-    parts = []
-    for k, s in enumerate(SCALES):
+def template_bands(table: DataFrame, containment: float) -> DataFrame:
+    """(band, license, n_shingles, counts, retrieves): a key for each shingle, which counts, and
+    those of the bands of every window at every offset, which retrieve. So do the keys of the first
+    shingles, one more than a document may lack."""
+    single = table.select("license", F.array_distinct("ordered").alias("wanted")).withColumn("n_shingles", F.size("wanted"))
+    parts = [
+        single.select("license", "n_shingles", F.posexplode("wanted").alias("k", "shingle")).select(
+            band_keys([F.col("shingle")], 0)[0].alias("band"), "license", "n_shingles", F.lit(True).alias("counts"), (F.col("k") <= F.col("n_shingles") - F.floor(F.lit(containment) * F.col("n_shingles"))).alias("retrieves")
+        )
+    ]
+    for k, s in list(enumerate(SCALES))[1:]:
         nxt = SCALES[k + 1].least if k + 1 < len(SCALES) else 1 << 30
         own = table.where(F.size("ordered").between(s.least, nxt - 1))
         at = own.select("license", "ordered", F.explode(F.expr(f"sequence(0, greatest(0, size(ordered) - {s.size}))")).alias("at"))
         keys = F.array(*band_keys([F.get("ordered", F.col("at") + x) for x in range(s.size)], k))
-        parts.append(at.select("license", F.array_distinct("ordered").alias("wanted"), F.explode(keys).alias("band")))
+        parts.append(at.select(F.explode(keys).alias("band"), "license", F.size(F.array_distinct("ordered")).alias("n_shingles"), F.lit(False).alias("counts"), F.lit(True).alias("retrieves")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out.distinct().withColumn("n_shingles", F.size("wanted"))
+    return out.distinct()
 
 
 def windows_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """A row for every STEP shingles: id, w0 to w11 (the hashes of the words from there on), around
-    (word hashes of AROUND shingles before to 2 AROUND after) and place (the number of its first)."""
-    span = AROUND + SHINGLE - 1
+    """A row for every STEP shingles: id, w0 to w11 (the hashes of the words from there on) and
+    place (the number of the first)."""
+    span = REACH + SHINGLE - 1
     hashed = docs.select(F.col(id_col).alias("id"), F.expr(hashes_sql(f"coalesce(`{text_col}`, '')")).alias("hashes")).where(f"size(hashes) >= {SHINGLE}")
-    # chunks overlap by what a row looks at before and after
-    chunk = f"struct(greatest(0, c * {CHUNK} - {AROUND}) AS at, c * {CHUNK} AS own, slice(hashes, greatest(0, c * {CHUNK} - {AROUND}) + 1, least(c, 1) * {AROUND} + {CHUNK + 2 * AROUND + SHINGLE}) AS hashes)"
-    chunks = hashed.select("id", F.explode(F.expr(f"transform(sequence(0, (size(hashes) - {SHINGLE}) div {CHUNK}), c -> {chunk})")).alias("c")).select("id", "c.at", "c.own", "c.hashes")
+    # chunks overlap by what a row looks at after its own
+    chunk = f"struct(c * {CHUNK} AS at, slice(hashes, c * {CHUNK} + 1, {CHUNK + span}) AS hashes)"
+    chunks = hashed.select("id", F.explode(F.expr(f"transform(sequence(0, (size(hashes) - {SHINGLE}) div {CHUNK}), c -> {chunk})")).alias("c")).select("id", "c.at", "c.hashes")
     words = ", ".join(f"get(hashes, p + {k}) AS w{k}" for k in range(span))
-    row = f"struct({words}, at + greatest(0, p - {AROUND}) AS place, slice(hashes, greatest(0, p - {AROUND}) + 1, least(p, {AROUND}) + {2 * AROUND + SHINGLE - 1}) AS around)"
-    last = f"least(own + {CHUNK}, at + size(hashes) - {SHINGLE - 1}) - 1 - at"
-    return chunks.select("id", F.explode(F.expr(f"transform(sequence(own - at, {last}, {STEP}), p -> {row})")).alias("w")).select("id", "w.*")
+    last = f"least({CHUNK}, size(hashes) - {SHINGLE - 1}) - 1"
+    return chunks.select("id", F.explode(F.expr(f"transform(sequence(0, {last}, {STEP}), p -> struct({words}, at + p AS place))")).alias("w")).select("id", "w.*")
 
 
-def keys_of_row() -> Column:
-    """Keys of all windows that begin in a row's STEP shingles. Where the text ends, words that are
-    not there leave shingles of fewer words, which no template has."""
-    word = [F.col(f"w{k}") for k in range(AROUND + SHINGLE - 1)]
-    shingle = [F.xxhash64(*word[k : k + SHINGLE]) for k in range(AROUND)]
+def keys_of_row() -> tuple[Column, Column]:
+    """Keys of all windows that begin in a row's STEP shingles: those of its single shingles in
+    order, and those of larger windows. Where the text ends, words that are not there leave shingles of fewer words, which no
+    template has."""
+    word = [F.col(f"w{k}") for k in range(REACH + SHINGLE - 1)]
+    shingle = [F.xxhash64(*word[k : k + SHINGLE]) for k in range(REACH)]
     keys = []
-    for k, s in enumerate(SCALES):
+    for k, s in list(enumerate(SCALES))[1:]:
         for start in range(0, STEP, s.stride):
             keys += band_keys(shingle[start : start + s.size], k)
-    return F.array(*keys)
+    return F.array(*(band_keys([h], 0)[0] for h in shingle[:STEP])), F.array(*keys)
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, containment: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -179,12 +191,13 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, containment:
     wanted = TEMPLATES if templates is None else templates
     if sum(map(len, wanted.values())) > 1_000_000:
         raise ValueError("templates of more than a million characters are not broadcast; scan with a part of them at a time")
-    bands = template_bands(template_table(spark, wanted))
-    keyed = windows_of(docs, id_col, text_col).select("id", "place", "around", keys_of_row().alias("keys"))
-    keyed = keyed.select("id", "place", "around", F.explode(F.array_distinct("keys")).alias("band"))
-    hits = keyed.join(F.broadcast(bands), "band").select("id", "license", "n_shingles", "wanted", "place", F.expr(shingles_sql("around")).alias("shingles"))
-    held = hits.select("id", "license", "n_shingles", "place", F.posexplode(F.expr("transform(shingles, h -> if(array_contains(wanted, h), h, null))")).alias("k", "shingle")).where("shingle is not null")
-    each = held.groupBy("id", "license", "n_shingles", "shingle").agg(F.min(F.col("place") + F.col("k")).alias("low"), F.max(F.col("place") + F.col("k")).alias("high"))
-    found = each.groupBy("id", "license", "n_shingles").agg(F.count("*").alias("n_found"), F.min("low").alias("first_word"), (F.max("high") + SHINGLE - 1).alias("last_word"))
+    bands = template_bands(template_table(spark, wanted), containment)
+    single, larger = keys_of_row()
+    # a step of its own: what keys have in common is computed once in a projection, not in a generator
+    keyed = windows_of(docs, id_col, text_col).select("id", "place", single.alias("single"), larger.alias("larger"))
+    keyed = keyed.select("id", "place", F.posexplode(F.concat("single", F.array_distinct("larger"))).alias("k", "band"))
+    hits = keyed.join(F.broadcast(bands), "band").select("id", "license", "n_shingles", "retrieves", F.expr("if(counts, band, null)").alias("shingle"), F.expr("if(counts, place + k, null)").alias("word"))
+    each = hits.groupBy("id", "license", "n_shingles", "shingle").agg(F.min("word").alias("low"), F.max("word").alias("high"), F.max("retrieves").alias("retrieves"))
+    found = each.groupBy("id", "license", "n_shingles").agg(F.count("shingle").alias("n_found"), F.min("low").alias("first_word"), (F.max("high") + SHINGLE - 1).alias("last_word"), F.max("retrieves").alias("retrieved")).where("retrieved AND n_found > 0")
     share = F.col("n_found") / F.col("n_shingles")
     return found.where(share >= containment).select(F.col("id").alias(id_col), "license", F.col("n_shingles").cast("long"), F.col("n_found").cast("long"), share.alias("containment"), F.col("first_word").cast("long"), F.col("last_word").cast("long"))

@@ -1,6 +1,7 @@
 """Edge cases of the training-data operators: nulls, empty and long texts, ties, repeats, extra columns."""
 
 import random
+import re
 
 import numpy as np
 import pytest
@@ -227,6 +228,44 @@ def test_bands_guarantee_collisions():
         licenses.template_table(None, {"x": "too short"})
 
 
+def brute_licenses(text, share):
+    words = lambda t: re.findall(r"[^\W_]+", t.lower())
+    shingles = lambda w: [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+    out = {}
+    for name, template in licenses.TEMPLATES.items():
+        wanted = set(shingles(words(template)))
+        at = [(i, s) for i, s in enumerate(shingles(words(text))) if s in wanted]
+        n = len({s for _, s in at})
+        if at and n / len(wanted) >= share:
+            out[name] = (len(wanted), n, n / len(wanted), at[0][0], at[-1][0] + 4)
+    return out
+
+
+@pytest.mark.parametrize("share", [0.8, 0.3])
+def test_license_scan_is_exact_over_whole_documents(spark, share):
+    """Shingles that stand apart, two templates that share one, near copies, and chunk borders."""
+    rng = random.Random(7)
+    t = licenses.TEMPLATES
+    both = ("CC-BY-4.0-notice", "GPL-3.0-notice")
+    texts = []
+    for k in range(60):
+        gap = " ".join(f"x{rng.randrange(50)}" for _ in range(rng.randrange(60)))
+        a, b = both if k % 2 else reversed(both)
+        texts.append(f"{gap} {t[a]} {gap} w {t[b]} end")
+    for name in t:
+        for _ in range(25):
+            words = t[name].split()
+            for _ in range(rng.randrange(1, 4)):
+                words[rng.randrange(len(words))] = "changed"
+            cut = rng.randrange(len(words))
+            texts.append(" ".join(["a"] * rng.randrange(9) + words[:cut] + ["b"] * rng.choice([0, 0, 30]) + words[cut:] + ["c"]))
+    texts += ["z " * n + t["MIT"] + " z" * 40 + " " + t["MIT"] for n in (licenses.CHUNK - 40, licenses.CHUNK - 3, 2 * licenses.CHUNK - 60)]
+    got = {k: {} for k in range(len(texts))}
+    for r in licenses.scan(docs(spark, *texts), containment=share).collect():
+        got[r["doc_id"]][r["license"]] = tuple(r)[2:]
+    assert got == {k: brute_licenses(text, share) for k, text in enumerate(texts)}
+
+
 # -- vectors ---------------------------------------------------------------------------------------
 
 
