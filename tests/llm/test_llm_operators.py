@@ -354,6 +354,54 @@ def test_html_text(page, text):
     assert html_text.visible_text(page) == text
 
 
+def brute_text(page):
+    """Text outside of tags by the tokenizer states of HTML, a character at a time."""
+    out, state, quote = [], "data", ""
+    for k, c in enumerate(page):
+        if state == "data":
+            if c == "<" and re.match(r"</?[a-z]", page[k:]):
+                state = "name"
+            else:
+                out.append(c)
+        elif state == "quoted":
+            state = "after" if c == quote else state
+        elif c == ">":
+            state = "data"
+        elif state == "name":
+            state = "before" if c in " \n" or c == "/" and page[k - 1] != "<" else state
+        elif state == "value":
+            if c in "\"'":
+                state, quote = "quoted", c
+            elif c not in " \n":
+                state = "unquoted"
+        elif state == "unquoted":
+            state = "before" if c in " \n" else state
+        elif c in "/" or state == "after" and c in " \n":
+            state = "before"
+        elif state in ("before", "after"):
+            state = "before" if c in " \n" else "attribute"
+        elif state == "attribute":
+            state = "value" if c == "=" else "gap" if c in " \n" else state
+        elif state == "gap":
+            state = "value" if c == "=" else state if c in " \n" else "attribute"
+    return "".join(out), state
+
+
+def test_broken_attributes_lose_no_text():
+    assert html_text.visible_text("<p title=it's>Lost words. It isn't here</p>") == "Lost words. It isn't here"
+    assert html_text.visible_text("<a title=Bob's>Bob and many words</a><p>second paragraph doesn't show</p>") == "Bob and many words\n\nsecond paragraph doesn't show"
+    assert html_text.attributes_of(" a='x>y' b=c'd e\" f = \"g\"h=i/ j") == {"a": "x>y", "b": "c'd", 'e"': "", "f": "g", "h": "i/", "j": ""}
+    rng = random.Random(3)
+    compared = 0
+    for _ in range(5_000):
+        page = "".join(rng.choice(["<b ", "<i", "</b", ">", ">", "'", '"', "=", "=", "/", " ", "x", "word ", "isn't "]) for _ in range(rng.randrange(30)))
+        text, state = brute_text(page)
+        if state == "data":
+            compared += 1
+            assert "".join(v for kind, v, _ in html_text.tokens(page) if kind == "text") == text, page
+    assert compared > 1_000
+
+
 def test_deep_and_long_pages(spark):
     assert html_text.visible_text("<div>" * 50_000 + "x") == "x"
     assert html_text.visible_text("<p>" + "word " * 50_000).count("word") == 50_000
