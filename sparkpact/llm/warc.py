@@ -187,6 +187,11 @@ def build_index(records: DataFrame, folder: str, block_lines: int = BLOCK_LINES)
     return saved(plain.repartitionByRange("key", "page", "file", "offset").sortWithinPartitions("key", "page", "file", "offset").mapInArrow(run, "key string, page string, index string, directory string"), "shards")
 
 
+def lines_of(raw: bytes) -> list[str]:
+    """Lines that end in a line feed and nothing else: keys may hold other line breaks of Unicode."""
+    return raw.decode().split("\n")[:-1]
+
+
 class IndexReader:
     """Lookups in one task. Keeps the directory and the block read last: lookups come sorted."""
 
@@ -202,7 +207,7 @@ class IndexReader:
         if shard != self.at:
             store, path = opened(self.shards[shard][3])
             with store.open_input_stream(path, compression=None) as f:
-                self.directory = [(k, p, int(o), int(n)) for k, p, o, n in (line.split("\t") for line in f.read().decode().splitlines())]
+                self.directory = [(k, p, int(o), int(n)) for k, p, o, n in (line.split("\t") for line in lines_of(f.read()))]
             self.heads = [(k, p) for k, p, _, _ in self.directory]
             self.at = shard
 
@@ -214,7 +219,7 @@ class IndexReader:
             with store.open_input_file(path) as f:
                 f.seek(self.directory[number][2])
                 raw = f.read(self.directory[number][3])
-            self.lines = [tuple(line.split("\t")) for line in gzip.decompress(raw).decode().splitlines()]
+            self.lines = [tuple(line.split("\t")) for line in lines_of(gzip.decompress(raw))]
             self.keys = [(line[0], line[1]) for line in self.lines]
             self.block_at = (shard, number)
         return self.lines

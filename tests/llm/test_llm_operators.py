@@ -310,6 +310,18 @@ def test_archives(spark):
     assert warc.parsed(member)["payload"] == b"payload"
 
 
+def test_odd_line_breaks_in_urls(spark):
+    rows = [(k, f"http://h.com/{c}x{c}", f"page {k}") for k, c in enumerate("\x85\u2028\u2029\x1c\x0b\x0c\r\n\t ~")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    folder = common.fresh_path(spark, "warc")
+    records = warc.write_archives(pages, folder)
+    for block_lines in (1, 3, 2_000):  # in the directory's lines, and in those of blocks
+        shards = warc.build_index(records, folder, block_lines=block_lines)
+        got = warc.read_records(warc.lookup(records, shards), payload=True).collect()
+        assert sorted((int(r["page"]), bytes(r["payload"]).decode()) for r in got) == [(k, html) for k, _, html in rows]
+    assert {r["page_id"] for r in warc.archive_and_read(pages).collect()} == set(range(len(rows)))
+
+
 def test_lookup_and_payloads(spark):
     pages = spark.range(500).select(F.col("id").alias("page_id"), F.format_string("http://h%d.com/%d", F.col("id") % 3, F.col("id")).alias("url"), F.concat(F.lit("page "), F.col("id").cast("string")).alias("html"))
     folder = common.fresh_path(spark, "warc")
