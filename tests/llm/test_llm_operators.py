@@ -175,32 +175,65 @@ def test_decontamination(spark, odd, monkeypatch, windows):
 # -- toxicity --------------------------------------------------------------------------------------
 
 
+def labelled(spark, texts, labels):
+    rows = list(enumerate(texts))
+    return spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(list(enumerate(labels)), "doc_id long, toxic int")
+
+
 def test_toxicity_and_counterfactuals(spark, odd):
     rnd = random.Random(1)
     plain = ["table", "river", "green", "walk", "stone", "paper", "light"]
     texts, labels = [], []
-    for k in range(400):
+    for k in range(500):
         toxic = k % 4 == 0
         words = [rnd.choice(plain) for _ in range(10)] + (["vile", "scumbag"] if toxic else ["calm", "evening"])
+        words.append("frau" if k % 2 else "mann")
         if toxic and rnd.random() < 0.7 or not toxic and rnd.random() < 0.05:
             words.append("muslim")  # the term goes with the label in this sample
+        elif rnd.random() < 0.05:
+            words.append("christian")
         texts.append(" ".join(words) + ".")
         labels.append(int(toxic))
-    without, with_term = toxicity.fit(texts, labels, counterfactual=0.0), toxicity.fit(texts, labels, counterfactual=50.0)
+    without, with_term = (toxicity.train(*labelled(spark, texts, labels), counterfactual=c) for c in (0.0, 50.0))
     gap = lambda m: abs(m.logit("a muslim walk by the river") - m.logit("a christian walk by the river"))
+    assert with_term.twins > 400 and any({"mann", "frau"} == set(k) for k in with_term.kinds) and any(len(set(plain) & set(k)) >= 4 for k in with_term.kinds)
     assert gap(with_term) < 0.2 * gap(without) and with_term.score("a muslim by the river") < 0.5 < with_term.score("the green table, you vile scumbag, by the old river of stone and paper")
     rows = toxicity.scores(odd, with_term).collect()
     assert len(rows) == odd.count() and all(0 <= r["score"] <= 1 for r in rows)
     assert toxicity.scores(empty(spark), with_term).count() == 0
     assert set(toxicity.keep_clean(odd, with_term).columns) == set(odd.columns)
-    assert toxicity.fit([], []).score("x") < 0.5 and toxicity.fit(["a"], [1]).score("x") > 0.5
+    assert toxicity.train(*labelled(spark, [], [])).score("x") < 0.5 and toxicity.train(*labelled(spark, ["a"] * 9, [1] * 9)).score("x") > 0.5
+    assert toxicity.train(*labelled(spark, [None, "", "a b", "x" * 90_000] * 5, [0, 1, None, 1] * 5)).score(None) < 1
+
+
+def test_every_swap_is_tallied():
+    kinds = [["he", "she", "they"], ["red", "blue"]]
+    texts = ["He saw her. She and he, he and they!\nBlue.", None, "", "none here"]
+    found = toxicity.swap_tallies(iter(texts), kinds)
+    at = {t: k for k, t in enumerate(t for kind in kinds for t in kind)}
+    change, often = toxicity.changes([(*k, n) for k, n in found.items()], kinds, at, 7)
+    brute = []
+    for text in texts:
+        for words in (re.findall(r"[a-z]+", x) for x in re.split(r"[.!?\n]+", (text or "").lower())):
+            for kind in kinds:
+                for a in {w for w in words if w in kind}:
+                    for b in kind:
+                        if b != a:
+                            count = lambda ws, t: np.log1p(ws.count(t))
+                            swapped = [b if w == a else w for w in words]
+                            brute.append(tuple(round(count(words, t) - count(swapped, t), 9) for t in at))
+    rows = np.zeros((change.n, 7))
+    np.add.at(rows, (change.row, change.col), change.val)
+    assert sorted(tuple(np.round(r[:5], 9)) for r, n in zip(rows, often, strict=True) for _ in range(int(n))) == sorted(brute)
 
 
 def test_training_sample_is_bounded(spark):
     text = spark.range(300).select(F.col("id").alias("doc_id"), F.lit("some text").alias("text"))
     labels = text.select("doc_id", (F.col("doc_id") % 2).alias("toxic"))
-    sample = toxicity.training_sample(text.unionByName(text), labels.unionByName(labels), "doc_id", "text", "toxic", 20)
-    assert len(sample) == 20 and all(common.fold_of_text(i) != 0 for i in sample["doc_id"])
+    sample = toxicity.training_sample(text.unionByName(text), labels.unionByName(labels), "doc_id", "text", "toxic", 20).collect()
+    assert len(sample) == 20 and all(r["text"] == "some text" for r in sample)
+    held = labels.where(common.fold_of(F.col("doc_id")) == 0)
+    assert toxicity.training_sample(text, held, "doc_id", "text", "toxic", 20).count() == 0
 
 
 # -- licenses --------------------------------------------------------------------------------------

@@ -122,16 +122,43 @@ def test_op8(spark):
 
 
 def test_op9(spark):
-    from sparkpact.llm.common import fold_of_text
+    """Scores by a plain loop over the model's weights; accuracy on the held-out labels; swaps."""
+    from sparkpact.llm import common, toxicity
 
     folder = "/root/testdata/sf0.01" if os.path.isdir("/root/testdata/sf0.01") else SF
     found = {r["doc_id"]: r for r in Q.op9_toxicity(spark, folder).collect()}
-    assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) and r["held_out"] == (fold_of_text(i) == 0) for i, r in found.items())
+    assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) and r["held_out"] == (common.fold_of_text(i) == 0) for i, r in found.items())
     import pyarrow.parquet as pq
 
-    labels = [x for x in pq.read_table(f"{folder}/labels.parquet").to_pylist() if fold_of_text(x["doc_id"]) == 0]
+    labels = [x for x in pq.read_table(f"{folder}/labels.parquet").to_pylist() if common.fold_of_text(x["doc_id"]) == 0]
     right = sum(found[x["doc_id"]]["predicted"] == x["toxic"] for x in labels)
     assert right / len(labels) > 0.95
+    model = toxicity.train(common.read_table(spark, folder, "documents"), common.read_table(spark, folder, "labels"))
+    kind_of = {t: kind for kind in model.kinds for t in kind}
+
+    def plain(words):
+        counts = collections.Counter()
+        for w in words:
+            counts[w] += 1
+            for k in range(4, 9):
+                if w not in kind_of and len(w) >= k:
+                    counts[w[:k] + "-"] += 1
+        z = model.bias + model.length * math.log(1 + len(words)) + sum(model.weights.get(f, 0.0) * math.log(1 + n) for f, n in counts.items())
+        return 1 / (1 + math.exp(-z))
+
+    assert model.twins > 10_000
+    moved = []
+    for d in pq.read_table(f"{folder}/documents.parquet").to_pylist():
+        words = re.findall(r"[^\W\d_]+", (d["text"] or "").lower())
+        own = plain(words)
+        assert found[d["doc_id"]]["score"] == pytest.approx(own, abs=1e-9)
+        if len(words) < 200:  # all mentions of a term swapped, in a whole text
+            for a in set(words) & set(kind_of):
+                b = kind_of[a][(kind_of[a].index(a) + 1) % len(kind_of[a])]
+                moved.append(abs(own - plain([b if w == a else w for w in words])))
+    assert len(moved) > 1_000 and max(moved) < 0.05
+    for text in ("the muslim woman and the christian man", "eine frau und ein mann", "la femme et le juif", "una mujer y un hombre"):
+        assert model.score(text) < 0.5
 
 
 def test_op10(spark):
