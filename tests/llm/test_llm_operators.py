@@ -320,6 +320,43 @@ def test_top_k_is_exact(spark, n):
     assert len(found) == len(range(0, n, 100))
 
 
+def test_top_k_of_odd_vectors(spark):
+    """Repeated ids ask for each row; shorter vectors count as followed by zeros; large ones stay exact."""
+    rows = [(0, [1.0, 2.0]), (0, [3.0, 1.0]), (1, [2.0]), (2, [0.0, -1.0, 4.0]), (100, [5.0]), (7, [])]
+    schema = "vec_id long, embedding array<double>"
+    found = vector_search.top_k(spark.createDataFrame(rows, schema), F.col("id") % 100 == 0, 10, scale=1).collect()
+    pad = [(k, i, (x + [0.0] * 3)[:3]) for k, (i, x) in enumerate(rows) if x]
+    expected = []
+    for k, i, x in pad:
+        if i % 100 == 0:
+            scores = sorted((-int(np.dot(x, y)), j) for m, j, y in pad if m != k)
+            expected += [(i, r + 1, j, -s) for r, (s, j) in enumerate(scores)]
+    assert sorted(tuple(r) for r in found) == sorted(expected)
+    big = [(k, [1e5 + k, 3e5 - 7.0 * k, 1.0]) for k in range(40)]  # products over 2**53 after scaling
+    found = {(r[0], r[1]): (r[2], r[3]) for r in vector_search.top_k(spark.createDataFrame(big, schema), F.col("id") % 20 == 0, 5).collect()}
+    for q in (0, 20):
+        whole = {k: [int(v * 1024) for v in x] for k, x in big}
+        scores = sorted((-sum(a * b for a, b in zip(whole[q], whole[k], strict=True)), k) for k in whole if k != q)[:5]
+        assert [found[q, r + 1] for r in range(5)] == [(k, -s) for s, k in scores] and -scores[0][0] > 2**53
+    with pytest.raises(ValueError):
+        vector_search.top_k(spark.createDataFrame([(0, [3e7]), (1, [1.0])], schema), F.col("id") == 0)
+
+
+def test_bounds_stop_the_walk(spark):
+    """In clustered vectors of one length a query is compared with a small share of them."""
+    rnd = np.random.default_rng(5)
+    centres = rnd.normal(0, 1, (30, 16))
+    x = centres[rnd.integers(0, 30, 20_000)] + rnd.normal(0, 0.02, (20_000, 16))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    df = spark.createDataFrame([(k, v) for k, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    found = vector_search.top_k(df, F.col("id") % 1_000 == 0, 10, compared=True).collect()
+    whole = np.floor(x * 1024).astype(np.int64)
+    for q in range(0, 20_000, 1_000):
+        scores = sorted((-int(whole[q] @ whole[k]), k) for k in range(20_000) if k != q)[:10]
+        assert sorted((r["rank"], r["vec_id"], r["score"]) for r in found if r["query_id"] == q) == [(r + 1, k, -s) for r, (s, k) in enumerate(scores)]
+    assert np.mean([r["compared"] for r in found]) < 0.25 * 20_000
+
+
 # -- WARC ------------------------------------------------------------------------------------------
 
 
