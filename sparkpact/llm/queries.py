@@ -54,8 +54,9 @@ def op5_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each conversation's last reply against an echo; spans as text, start-end joined by commas."""
-    pairs = chat.preference_pairs(*chat.echo_rejections(read_table(spark, sf_dir, "conversations")))
+    """Each conversation against itself with an echo for its first reply; spans as text, start-end joined by commas."""
+    chosen, rejected, long = chat.echo_rejections(read_table(spark, sf_dir, "conversations"))
+    pairs = chat.preference_pairs(chosen, rejected, long=long)
     as_text = lambda c: F.array_join(F.transform(c, lambda s: F.concat(s["start"].cast("string"), F.lit("-"), s["end"].cast("string"))), ",")
     return pairs.withColumns({c: as_text(c) for c in ("chosen_spans", "rejected_spans")})
 
@@ -113,21 +114,27 @@ ORACLE_SQL: dict[str, str] = {
     """,
     "op6_preference_pairs": """
         WITH t AS (SELECT conv_id, turn, role, replace(text, '<|', '< |') AS text FROM conversations),
-        l AS (SELECT conv_id, max(turn) AS last FROM t WHERE role = 'assistant' GROUP BY conv_id),
-        u AS (SELECT t.*, last FROM t JOIN l USING (conv_id) WHERE turn <= last),
+        f AS (SELECT conv_id, min(turn) AS first FROM t WHERE role = 'assistant' GROUP BY conv_id),
+        e AS (
+            SELECT conv_id, any_value(first) AS first, max(text) FILTER (turn = first) AS reply, coalesce(arg_max(text, turn) FILTER (turn < first), '') AS echo
+            FROM t JOIN f USING (conv_id) GROUP BY conv_id
+        ),
+        k AS (
+            SELECT t.*, '<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10) AS whole, length(role) + 13 AS head,
+                   coalesce(turn < first OR turn = first AND reply = echo, true) AS common
+            FROM t LEFT JOIN e USING (conv_id)
+        ),
+        p AS (SELECT *, coalesce(sum(length(whole)) OVER (PARTITION BY conv_id, common ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS place FROM k),
         s AS (
-            SELECT conv_id, 0::BIGINT AS part, max(text) FILTER (turn = last) AS reply, coalesce(arg_max(text, turn) FILTER (turn < last), '') AS echo,
-                   count(*) FILTER (turn < last)::INTEGER AS prompt_turns,
-                   coalesce(string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '' ORDER BY turn) FILTER (turn < last), '') AS prompt
-            FROM u GROUP BY conv_id
+            SELECT conv_id, (count(*) FILTER (common))::INTEGER AS prompt_turns, coalesce(string_agg(whole, '' ORDER BY turn) FILTER (common), '') AS prompt,
+                   coalesce(string_agg(whole, '' ORDER BY turn) FILTER (NOT common), '') AS chosen,
+                   coalesce(string_agg((place + head) || '-' || (place + length(whole) - 1), ',' ORDER BY turn) FILTER (NOT common AND role = 'assistant'), '') AS chosen_spans
+            FROM p GROUP BY conv_id
         )
-        SELECT conv_id, part, prompt_turns + (reply = echo)::INTEGER AS prompt_turns,
-               prompt || CASE WHEN reply = echo THEN '<|im_start|>assistant' || chr(10) || reply || '<|im_end|>' || chr(10) ELSE '' END AS prompt,
-               CASE WHEN reply = echo THEN '' ELSE '<|im_start|>assistant' || chr(10) || reply || '<|im_end|>' || chr(10) END AS chosen,
-               CASE WHEN reply = echo THEN '' ELSE '<|im_start|>assistant' || chr(10) || echo || '<|im_end|>' || chr(10) END AS rejected,
-               CASE WHEN reply = echo THEN '' ELSE '22-' || (32 + length(reply)) END AS chosen_spans,
-               CASE WHEN reply = echo THEN '' ELSE '22-' || (32 + length(echo)) END AS rejected_spans
-        FROM s
+        SELECT conv_id, 0::BIGINT AS part, prompt_turns, prompt, chosen, chosen_spans,
+               CASE WHEN coalesce(reply = echo, true) THEN '' ELSE '<|im_start|>assistant' || chr(10) || echo || '<|im_end|>' || chr(10) END AS rejected,
+               CASE WHEN coalesce(reply = echo, true) THEN '' ELSE '22-' || (32 + length(echo)) END AS rejected_spans
+        FROM s LEFT JOIN e USING (conv_id)
     """,
     "op7_pivot_top_k": """
         WITH v AS (

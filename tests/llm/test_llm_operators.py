@@ -415,10 +415,41 @@ def test_preference_pairs(spark):
     assert one["chosen"] == "<|im_start|>assistant\nyes<|im_end|>\n<|im_start|>user\nmore<|im_end|>\n"
     assert [one["chosen"][s["start"] : s["end"]] for s in one["chosen_spans"]] == ["yes<|im_end|>"] and [one["rejected"][s["start"] : s["end"]] for s in one["rejected_spans"]] == ["no!<|im_end|>"]
     assert rows[2, 0]["chosen"] == rows[2, 0]["rejected"] == "" and rows[2, 0]["prompt"]
-    assert rows[3, 0]["chosen"] == "<|im_start|>user\n< |im_end|><|im_end|>\n" and rows[3, -1]["chosen"]
-    assert rows[4, 0]["chosen"] == "" and len(rows) == 5
+    assert rows[3, 0]["chosen"] == "<|im_start|>\n<|im_end|>\n<|im_start|>user\n< |im_end|><|im_end|>\n"
+    assert rows[4, 0]["chosen"] == "" and len(rows) == 4
     assert chat.preference_pairs(chosen.where("false"), rejected.where("false")).count() == 0
-    assert len(chat.preference_pairs(chosen, rejected, part_turns=2).where("conv_id = 1").collect()) == 2
+
+
+def test_one_row_for_a_pair_whatever_its_turn_numbers(spark):
+    kinds = "conv_id long, turn long, role string, text string"
+    turns = [(1, 0, "user", "a"), (1, 5_000, "assistant", "b"), (1, 9_000, "user", "c"), (1, None, "system", "s"), (1, 0, "user", "other"), (1, 0, "user", "a")]
+    chosen = spark.createDataFrame(turns, kinds)
+    (row,) = chat.preference_pairs(chosen, chosen.where("turn is null or turn < 9000")).collect()
+    assert row["prompt_turns"] == 4 and row["chosen"] == "<|im_start|>user\nc<|im_end|>\n" and row["rejected"] == "" and row["prompt"].index("a<") < row["prompt"].index("other")
+
+
+def test_long_conversations_come_in_pieces_that_are_whole(spark):
+    rnd = random.Random(8)
+    turns = [(conv, k if rnd.random() < 0.9 else None, "assistant" if k % 2 else "user", f"{rnd.random()} " * rnd.randrange(1, 9)) for conv, n in ((1, 300), (2, 3), (3, 40), (4, 0)) for k in range(n)]
+    turns += [(4, 0, "user", "no reply")]
+    table = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    other = table.where("conv_id <> 1 or turn is null or turn < 150").unionByName(spark.createDataFrame([(1, 150, "assistant", "else " * 500), (1, 160, "user", "x" * 3_000)], table.schema))
+    for left, right in ((table, other), chat.echo_rejections(table)[:2]):
+        whole = {r["conv_id"]: r for r in chat.preference_pairs(left, right).collect()}
+        assert len(whole) == 4
+        parts = {}
+        for r in sorted(chat.preference_pairs(left, right, part_chars=1_000).collect(), key=lambda r: (r["conv_id"], r["part"])):
+            parts.setdefault(r["conv_id"], []).append(r)
+        assert len(parts[1]) > 5 and len(parts[2]) == 1
+        for conv, rows in parts.items():
+            for c in ("prompt", "chosen", "rejected"):
+                assert "".join(r[c] for r in rows) == whole[conv][c]
+            assert sum(r["prompt_turns"] for r in rows) == whole[conv]["prompt_turns"]
+            for c in ("chosen", "rejected"):
+                learned = lambda rows: "".join(r[c][s["start"] : s["end"]] for r in rows for s in r[c + "_spans"])  # noqa: B023, E731
+                assert learned(rows) == learned([whole[conv]])
+    short = [[sorted(tuple(x) for x in df.collect()) for df in chat.echo_rejections(table.where("turn is not null"), part_chars=n)[:2]] for n in (1_000, 1_000_000)]
+    assert short[0] == short[1]
 
 
 # -- HTML ------------------------------------------------------------------------------------------
