@@ -1,5 +1,6 @@
 """Edge cases of the training-data operators: nulls, empty and long texts, ties, repeats, extra columns."""
 
+import hashlib
 import random
 import re
 
@@ -364,6 +365,7 @@ def test_surt_keys():
     assert warc.surt_key("http://www.Example.com:80/a?b=1#c") == "com,example,www)/a?b=1"
     assert warc.surt_key("https://user@h.org:8080") == "org,h:8080)/"
     assert warc.surt_key(None) == "" and "\t" not in warc.surt_key("a\tb")
+    assert warc.surt_key("http://[2001:DB8::1]:8080/x") == "[2001:db8::1]:8080)/x" and warc.surt_key("http://[::1]/") == "[::1])/"
 
 
 def test_archives(spark):
@@ -392,6 +394,20 @@ def test_odd_line_breaks_in_urls(spark):
     assert {r["page_id"] for r in warc.archive_and_read(pages).collect()} == set(range(len(rows)))
 
 
+def test_ids_of_any_text_and_many_records_under_one_entry(spark):
+    big = "b" * 1_000
+    rows = [("a\tb", "http://h/", big), ("%-", "http://h/", big), ("", "http://h/", "x"), ("%41", "http://h/", "y"), ("zé\n", "http://h/", big)] + [(None, "http://h/", f"n{k}") for k in range(300)]
+    pages = spark.createDataFrame(rows, "page_id string, url string, html string")
+    found = warc.archive_and_read(pages).collect()
+    digest = lambda t: hashlib.sha1(t.encode()).hexdigest()
+    expected = [(i, len(h), digest(h), "revisit" if h == big and i != "zé\n" else "response", "zé\n" if h == big and i != "zé\n" else None) for i, _, h in rows]
+    assert sorted(map(str, map(tuple, found))) == sorted(map(str, expected))
+    folder = common.fresh_path(spark, "warc")
+    records = warc.write_archives(pages, folder)
+    shards = warc.build_index(records, folder, block_lines=7)
+    assert warc.lookup(records, shards).count() == len(rows)
+
+
 def test_lookup_and_payloads(spark):
     pages = spark.range(500).select(F.col("id").alias("page_id"), F.format_string("http://h%d.com/%d", F.col("id") % 3, F.col("id")).alias("url"), F.concat(F.lit("page "), F.col("id").cast("string")).alias("html"))
     folder = common.fresh_path(spark, "warc")
