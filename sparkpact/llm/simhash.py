@@ -3,8 +3,9 @@
 Two fingerprints within ``budget`` differing bits agree on at least ``BLOCKS - budget`` of BLOCKS
 blocks of their bits, whichever bits differ. So for each choice of that many blocks the
 fingerprints are keyed by those blocks' bits; a key is the root of one binary trie over the other
-bits, and where it holds very many fingerprints it is split the same way over those. Tries are joined with themselves in parallel: pairs of nodes are walked down together, the
-bits in which they differ are added up, and a pair is dropped once it is over the budget.
+bits, and where it holds very many fingerprints it is split the same way over those. Tries are
+joined with themselves in parallel: pairs of nodes are walked down together, the bits in which they
+differ are added up, and a pair is dropped once it is over the budget.
 Exact copies are one fingerprint, with a count; each task passes on a spanning star of what it
 linked, not its pairs; stars are joined into components by Spark (large-star, small-star).
 """
@@ -31,6 +32,12 @@ HOT_TRIE = 100_000
 LEVELS = 3
 #: Node pairs walked down at once in a task; more are taken in turns.
 FRONTIER = 500_000
+#: Fingerprints that a task gathers before it joins the tries that are complete.
+GATHERED = 200_000
+#: A node of more neighbours is a hub: the rows under it are not brought to one task. At least this
+#: many, and at least this share of all rows, so that the hubs' table has 2 / HUB_SHARE rows at most.
+HUB_ROWS = 64
+HUB_SHARE = 1e-5
 
 
 def fingerprint(text: str | None, words_in_shingle: int = 4, seed: int = SEED) -> int:
@@ -209,15 +216,17 @@ def stars(fps: DataFrame, budget: int) -> DataFrame:
             return [np.concatenate([b.column(k).to_numpy(zero_copy_only=False) for b in held]) for k in range(3)]
 
         for batch in batches:
+            if not batch.num_rows:
+                continue
             held.append(batch)
             size += batch.num_rows
-            if size >= 200_000:  # whole keys are done with; the last one may go on in the next batch
+            # whole keys are done with; the last one may go on in the next batch
+            ends = [tuple(b.column(k)[at].as_py() for k in range(2)) for b, at in ((held[0], 0), (batch, batch.num_rows - 1))]
+            if size >= GATHERED and ends[0] != ends[1]:
                 mask, bits, fp = columns()
-                ends = np.flatnonzero((mask != mask[-1]) | (bits != bits[-1]))
-                cut = ends[-1] + 1 if len(ends) else 0
-                if cut:
-                    yield done(mask[:cut], bits[:cut], fp[:cut])
-                    held, size = [pa.RecordBatch.from_arrays([pa.array(x[cut:]) for x in (mask, bits, fp)], ["mask", "bits", "fp"])], len(fp) - cut
+                cut = np.flatnonzero((mask != mask[-1]) | (bits != bits[-1]))[-1] + 1
+                yield done(mask[:cut], bits[:cut], fp[:cut])
+                held, size = [pa.RecordBatch.from_arrays([pa.array(x[cut:]) for x in (mask, bits, fp)], ["mask", "bits", "fp"])], len(fp) - cut
         if held:
             yield done(*columns())
 
@@ -227,30 +236,42 @@ def stars(fps: DataFrame, budget: int) -> DataFrame:
 # -- components ------------------------------------------------------------------------------------
 
 
+def with_least(rows: DataFrame, least: DataFrame, hub_rows: float) -> DataFrame:
+    """(u, v, m): rows (u, v) with the m that least (u, m, n) has for u; n is how many rows u has.
+
+    Rows under a hub get m from a broadcast table, wherever they are; only the others are shuffled
+    by u, so no task is sent the rows of a hub. The table is bounded by rows over hub_rows.
+    """
+    hubs = F.broadcast(least.where(F.col("n") > hub_rows).select("u", "m"))
+    plain = least.where(F.col("n") <= hub_rows).select("u", "m")
+    return rows.join(hubs, "u").unionByName(rows.join(hubs.select("u"), "u", "left_anti").join(plain, "u"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of all nodes of edges (u, v): root is the smallest node in reach.
 
     Alternates large-star and small-star until the stars stay: each is one aggregation (combined
-    before the shuffle) and a join back that Spark may split where a node has many neighbours.
-    Each round is written to the shared folder, so lineage stays short.
+    before the shuffle) and a look at its result, in which hubs take no part in the shuffle. Each
+    round is written to the shared folder, so lineage stays short.
     """
     now = saved(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    size = now.count()
     while True:
+        hub_rows = max(HUB_ROWS, size * HUB_SHARE)
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        least = saved(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n"), "least")
+        large = with_least(both, least, hub_rows).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         large = saved(large.distinct(), "edges")
-        drop = now
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        low = saved(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "least")
+        small = with_least(large, low, hub_rows).select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         nxt = saved(small, "edges")
-        drop_saved(large)
         # stars that stay: every node has one edge, to a node that has none of its own
-        settled = nxt.groupBy("u").agg(F.count("*").alias("n")).agg(F.max("n").alias("n"), F.count("*").alias("nodes")).first()
-        drop_saved(drop)
-        now = nxt
-        if not settled["nodes"] or settled["n"] == 1 and not now.join(now.select(F.col("u").alias("v")), "v", "left_semi").head(1):
+        settled = nxt.groupBy("u").agg(F.count("*").alias("n")).agg(F.max("n").alias("n"), F.sum("n").alias("edges"), F.count("*").alias("nodes")).first()
+        for old in (now, least, large, low):
+            drop_saved(old)
+        now, size = nxt, settled["edges"] or 0
+        if not settled["nodes"] or settled["n"] == 1 and not now.select("v").distinct().join(now.select(F.col("u").alias("v")), "v", "left_semi").head(1):
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
