@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkpact.llm.bpe import groups
+from sparkpact.llm.common import saved
 
 #: Words of a shingle; a window of fewer is one shingle.
 SHINGLE = 3
@@ -54,14 +55,15 @@ class WindowIndex:
         for k, (_, words) in enumerate(items):
             for w in windows_of(words, window):
                 holders.setdefault(w, []).append(k)
-        #: By size of shingle: prefix shingle to (its place in the window, the window's length, the window, items).
-        self.by_prefix: dict[int, dict[tuple[bytes, ...], list[tuple[int, int, list[bytes], list[int]]]]] = {}
+        #: By size of shingle: prefix shingle to the windows under it, by its place in the window and the
+        #: window's length; so however many windows share a prefix, an occurrence looks each length up once.
+        self.by_prefix: dict[int, dict[tuple[bytes, ...], dict[tuple[int, int], dict[tuple[bytes, ...], list[int]]]]] = {}
         for w, held in holders.items():
             size = min(SHINGLE, len(w))
             shingles = [*shingles_of(list(w), size)]
             # rarest first; ties to the smaller shingle, then to its first place
             at = min(range(len(shingles)), key=lambda p: (counts[shingles[p]], shingles[p], p))
-            self.by_prefix.setdefault(size, {}).setdefault(shingles[at], []).append((at, len(w), list(w), held))
+            self.by_prefix.setdefault(size, {}).setdefault(shingles[at], {}).setdefault((at, len(w)), {})[w] = held
 
     def match(self, words: list[bytes]) -> tuple[set[int], list[tuple[int, int]]]:
         """Items with an occurring window, and the [start, end) of each occurrence."""
@@ -70,11 +72,13 @@ class WindowIndex:
         spans: list[tuple[int, int]] = []
         for size, prefixes in self.by_prefix.items():
             for k, shingle in [(k, x) for k, x in enumerate(shingles_of(words, size)) if x in prefixes]:
-                for at, length, window, held in prefixes[shingle]:
+                for (at, length), windows in prefixes[shingle].items():
                     start = k - at
-                    if start >= 0 and start + length <= n and words[start : start + length] == window:
-                        found.update(held)
-                        spans.append((start, start + length))
+                    if start >= 0 and start + length <= n:
+                        held = windows.get(tuple(words[start : start + length]))
+                        if held:
+                            found.update(held)
+                            spans.append((start, start + length))
         return found, spans
 
 
@@ -89,25 +93,32 @@ def covered(spans: list[tuple[int, int]], n: int) -> int:
     return int((np.cumsum(steps) > 0).sum())
 
 
-def item_blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list[tuple[str, list[bytes]]]]:
-    """Items in runs of bounded size, one run at a time on the driver."""
+def item_blocks(benchmark: DataFrame, item_col: str, text_col: str, window: int) -> Iterator[list[tuple[str, list[bytes]]]]:
+    """Items in runs of bounded size, one run at a time on the driver. An item that is larger than a
+    run goes into several, in pieces that overlap by all but one word of a window."""
     run: list[tuple[str, list[bytes]]] = []
     windows = size = 0
     rows = benchmark.where(F.col(item_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(item_col).cast("string"), text_col)
     for name, text in rows.toLocalIterator():
-        words = words_of(text)
-        if not words:
-            continue
-        if run and (windows + len(words) > BLOCK_WINDOWS or size + len(text) > BLOCK_BYTES):
-            yield run
-            run, windows, size = [], 0, 0
-        run.append((name, words))
-        windows += len(words)
-        size += len(text)
+        for words in pieces_of(words_of(text), window):
+            held = sum(map(len, words))
+            if run and (windows + len(words) > BLOCK_WINDOWS or size + held > BLOCK_BYTES):
+                yield run
+                run, windows, size = [], 0, 0
+            run.append((name, words))
+            windows += len(words)
+            size += held
     if run:
         yield run
 
 
+def pieces_of(words: list[bytes], window: int) -> Iterator[list[bytes]]:
+    """An item's words in pieces of bounded size, of which each window is in one at least."""
+    step = max(window, min(BLOCK_WINDOWS, BLOCK_BYTES // max(map(len, words), default=1)))
+    for at in range(0, max(1, len(words) - window + 1) if words else 0, step):
+        yield words[at : at + step + window - 1]
+
+
 def shingle_counts(docs: DataFrame, text_col: str, shingles: set[tuple[bytes, ...]]) -> Counter:
     """How often all documents have each shingle of a bounded set."""
     by_size: dict[int, set[tuple[bytes, ...]]] = {}
@@ -129,27 +140,37 @@ def shingle_counts(docs: DataFrame, text_col: str, shingles: set[tuple[bytes, ..
     return Counter({tuple(bytes(x).split(b" ")): n for x, n in counted.toLocalIterator()})
 
 
-def indexes(docs: DataFrame, benchmark: DataFrame, window: int, text_col: str, item_col: str, item_text_col: str) -> list:
-    """A broadcast index for each block of items; one at least."""
+def indexes(docs: DataFrame, benchmark: DataFrame, window: int, text_col: str, item_col: str, item_text_col: str) -> Iterator[tuple]:
+    """(broadcast index, whether it is the only one) of each block of items, one block at a time; one at least."""
     context = docs.sparkSession.sparkContext
-    out = []
-    for items in item_blocks(benchmark, item_col, item_text_col):
+
+    def sent(items: list[tuple[str, list[bytes]]]):
         counts = shingle_counts(docs, text_col, {x for _, words in items for x in shingles_of(words, min(SHINGLE, len(words), window))})
-        out.append(context.broadcast(WindowIndex(items, window, counts)))
-    return out or [context.broadcast(WindowIndex([], window, Counter()))]
+        return context.broadcast(WindowIndex(items, window, counts))
+
+    blocks = item_blocks(benchmark, item_col, item_text_col, window)
+    block, after = next(blocks, []), next(blocks, None)
+    only = after is None
+    while block is not None:
+        yield sent(block), only
+        block, after = after, next(blocks, None)
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = 10, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The rows of docs, all columns, in which no benchmark window occurs; nulls as in decontaminate()."""
     at = docs.columns.index(text_col)
-    for index in indexes(docs, benchmark, window, text_col, item_col, item_text_col):
+    kept = docs
+    for index, only in indexes(docs, benchmark, window, text_col, item_col, item_text_col):
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 yield batch.filter(pa.array([not index.value.match(words_of(x))[0] for texts in groups(batch.column(at)) for x in texts], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+        kept = kept.mapInArrow(run, docs.schema)
+        if not only:  # one index is alive at a time
+            kept = saved(kept, "clean")
+            index.destroy()
+    return kept
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", spans: bool = False) -> DataFrame:
@@ -161,7 +182,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_co
 
     The index of one block of items is broadcast: at most BLOCK_WINDOWS windows and BLOCK_BYTES of
     text whatever the benchmark's size; a larger benchmark is taken in blocks, one pass over the
-    documents each, and their hits are merged by row.
+    documents each, and their hits are written down and merged by row. One index is alive at a time.
 
     Null or empty text: no words, nothing hit. Items that are null, without words or without id
     take no part; items with one id are one item. Repeated documents: one row each. Empty
@@ -169,11 +190,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_co
     """
     kind = dict(docs.dtypes)[id_col]
     columns = "items array<string>, spans array<struct<start:int,end:int>>, text_key string"
-    blocks = indexes(docs, benchmark, window, text_col, item_col, item_text_col)
-    several = len(blocks) > 1
-    wide = spans or several
 
-    def one(index) -> DataFrame:
+    def one(index, wide: bool) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = index.value
             for batch in batches:
@@ -199,9 +217,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_co
         schema = f"`{id_col}` {kind}, n_words long, n_hit long, n_items long, items_sha256 string" + (", " + columns if wide else "")
         return docs.select(id_col, text_col).mapInArrow(run, schema)
 
-    if not several:
-        return one(blocks[0]).drop("text_key").withColumn("contaminated", F.col("n_hit") > 0)
-    return merged([one(b) for b in blocks], id_col, spans)
+    parts = []
+    for index, only in indexes(docs, benchmark, window, text_col, item_col, item_text_col):
+        if only:
+            return one(index, spans).drop("text_key").withColumn("contaminated", F.col("n_hit") > 0)
+        parts.append(saved(one(index, True), "hits"))
+        index.destroy()
+    return merged(parts, id_col, spans)
 
 
 def items_hash(ids: list[str]) -> str:

@@ -69,6 +69,23 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.decontaminate(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def decontamination_sql() -> str:
+    """Every window of every length that items have, in every document."""
+    words = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+    return f"""
+        WITH d AS (SELECT doc_id, row_number() OVER () AS r, {words} AS w FROM documents),
+        b AS (SELECT item_id::VARCHAR AS item, {words} AS w FROM benchmark WHERE item_id IS NOT NULL),
+        bw AS (SELECT DISTINCT item, len(x) AS n, array_to_string(x, ' ') AS s FROM (SELECT item, w[i : i + 9] AS x FROM (SELECT item, w, unnest(range(1, greatest(2, len(w) - 8))) AS i FROM b WHERE len(w) > 0))),
+        sizes AS (SELECT DISTINCT n FROM bw),
+        dw AS (SELECT r, i, n, array_to_string(w[i : i + n - 1], ' ') AS s FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, sizes WHERE len(w) >= n)),
+        h AS (SELECT r, i, n, item FROM dw JOIN bw USING (n, s)),
+        p AS (SELECT r, count(DISTINCT place) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS place FROM h) GROUP BY r),
+        m AS (SELECT r, count(DISTINCT item) AS n_items, array_to_string(list_sort(list(DISTINCT item)), ',') AS names FROM h GROUP BY r)
+        SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM d LEFT JOIN p USING (r) LEFT JOIN m USING (r)
+    """
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return toxicity.scores(docs, toxicity.train(docs, read_table(spark, sf_dir, "labels")))
@@ -136,6 +153,7 @@ ORACLE_SQL: dict[str, str] = {
                CASE WHEN coalesce(reply = echo, true) THEN '' ELSE '22-' || (32 + length(echo)) END AS rejected_spans
         FROM s LEFT JOIN e USING (conv_id)
     """,
+    "op8_decontamination": decontamination_sql(),
     "op7_pivot_top_k": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda c: floor(1024 * c::DOUBLE)::BIGINT) AS x
