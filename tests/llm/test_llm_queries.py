@@ -182,3 +182,23 @@ def test_pipeline(spark):
     lib = reference_bpe()
     assert {r["doc_id"]: tuple(r)[1:] for r in P.run(spark, SF).collect()} == {i: bpe_row(lib, docs[i]["text"]) for i in kept}
     assert 0 < len(kept) < len(docs)
+
+
+def test_pipeline_stages_on_odd_rows(spark):
+    """Null and repeated ids, null texts, empty tables and extra columns with clashing names."""
+    import corpus_pipeline as P
+
+    copy = "the very same text stands here more than once in this table"
+    rows = [(5, copy, "a"), (5, copy, "b"), (3, copy, "c"), (None, copy, "d"), (None, "another text of its own that nobody has copied", "e"), (None, None, "f"), (7, "", "g"), (8, "q " * 60_000, "h"), (5, "a third text that has an id which stands elsewhere too", "i")]
+    schema = "doc_id long, text string, kept_id string, row_0 long, row_key_0 long, fp long, component_id long, score double"
+    docs = spark.createDataFrame([(*r, 1, 1, 1, 1, 0.5) for r in rows], schema)
+    kept = P.one_of_each_group(spark, docs, SF)
+    assert kept.columns == docs.columns
+    assert sorted(r["kept_id"] for r in kept.collect()) == ["c", "e", "g", "h", "i"]
+    for name, stage in P.STAGES:
+        assert stage(spark, docs.where("false"), SF).count() == 0
+        found = stage(spark, docs, SF)
+        if name != P.STAGES[-1][0]:
+            assert found.columns == docs.columns
+        if name != "simhash_near_dedup":
+            assert found.count() == len(rows)
