@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -531,6 +532,82 @@ def test_broken_attributes_lose_no_text():
     assert compared > 1_000
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<table><tr><td rowspan=2>a<td>b<tr><td>c<tr><td>d<td>e</table>", "a | b\n  | c\nd | e"),
+        ("<table><tr><td>k<td rowspan=3>long<td>x<tr><td>l<td>y<tr><td>m<td>z</table>", "k | long | x\nl |      | y\nm |      | z".replace("l |      | y", "l        | y").replace("m |      | z", "m        | z")),
+        ("<details><summary>more</summary>inner</details><details open><summary>s</summary>shown</details>", "more\n\ns\nshown"),
+        ("Size <select><option>S<option selected>M<option>L</select> now", "Size M now"),
+        ("<select multiple><option>S<option>M</select>", "S\nM"),
+        ("<div style='visibility:hidden'>no <b style='visibility: visible'>yes</b> no</div>", "yes"),
+        ("<style>.x, #y {display:none} p.z{visibility:hidden}/* .q{display:none} */ @media print { .q {display:none} } .x.w{display:block}</style><p class='a x'>no<p id=y>no<p class=z>no<p class=q>yes<div class='x w'>back</div>", "yes\n\nback"),
+        ("<svg><title>t</title><text x=1>label</text><desc>no</desc></svg> and <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>no</annotation></math>", "label and x=1"),
+        ("<dialog>no</dialog><dialog open>yes</dialog>", "yes"),
+        ("<table><tr><td>" + "word " * 40 + "<td>b</table>", "\n".join([("word " * 12).ljust(59)[:59] + " | b"] + [("word " * n).rstrip().ljust(59) + " |" for n in (12, 12, 4)])),
+    ],
+)
+def test_layout(page, text):
+    assert html_text.visible_text(page) == text
+
+
+@pytest.mark.parametrize("part", ['<a href="x ', "<a href='x\" ", "<a b=c ", "</a ", '<p a="', "<table><tr><td>x", "<blockquote>q", "<ul><li>x", "<!--", "<p><table><tr><td><div>", "<b>x</i>", "<td colspan=100>y", "<select><option>o", "<style>a", "<style>.a{display:none}</style><p class=a>"])
+def test_work_and_output_are_linear(part):
+    """Pages of some 300,000 characters of one odd part."""
+    n = 300_000 // len(part)
+    began = time.process_time()
+    for tail in ("", ">", "'>\">x"):
+        text = html_text.visible_text(part * n + tail)
+        assert len(text) < 20 * len(part) * n
+    assert time.process_time() - began < 30
+
+
+def test_a_wide_table_is_not_padded():
+    page = "<table>" + "".join(f"<tr><td>{'w ' * 5_000}{'<td>c' * 50}" for _ in range(20)) + "</table>"
+    text = html_text.visible_text(page)
+    assert len(text) < 2 * len(page) and text.count("c") == 1_000
+
+
+def plain_words(page):
+    """Words of a page by the standard library's parser, without layout."""
+    import html.parser
+
+    words, hidden = [], []
+
+    class Parser(html.parser.HTMLParser):
+        def handle_starttag(self, tag, attributes):
+            a = dict(attributes)
+            if tag in html_text.VOID:
+                words.extend((a.get("alt") or "").split() if tag == "img" and not hidden else [])
+            elif hidden or tag in html_text.NEVER_SHOWN or "hidden" in a or "none" in (a.get("style") or ""):
+                hidden.append(tag)
+
+        def handle_endtag(self, tag):
+            if tag in hidden:
+                while hidden.pop() != tag:
+                    pass
+
+        def handle_data(self, data):
+            words.extend([] if hidden else data.split())
+
+    parser = Parser(convert_charrefs=True)
+    parser.feed(page)
+    parser.close()
+    return words
+
+
+def test_no_word_of_the_pages_is_lost():
+    import pyarrow.parquet as pq
+
+    pages = [p["html"] for p in pq.read_table("/root/testdata/sf0.001/pages.parquet").to_pylist() if p["html"]]
+    mark = re.compile(r"^(?:-|>|\d+\.|\||---)$")
+    for page in pages:
+        text = html_text.visible_text(page)
+        own = [w for w in text.split() if not mark.match(w)]
+        expected = [w for w in plain_words(page) if not mark.match(w)]
+        assert sorted("".join(own)) == sorted("".join(expected))
+
+
 def test_deep_and_long_pages(spark):
     assert html_text.visible_text("<div>" * 50_000 + "x") == "x"
     assert html_text.visible_text("<p>" + "word " * 50_000).count("word") == 50_000
