@@ -201,7 +201,7 @@ def asked(packed: DataFrame, ranges: tuple[int, int]) -> DataFrame:
     return packed.select("block", *PACKED).mapInArrow(run, "kind int, range int, block long, keys binary, train binary, gone binary, first long")
 
 
-def answered(asking: DataFrame) -> DataFrame:
+def answered(asking: DataFrame, ranges: tuple[int, int]) -> DataFrame:
     """For each block and range the corpus counts of its keys in order; also a row without block:
     how many of the range's keys occur in training text."""
 
@@ -225,7 +225,9 @@ def answered(asking: DataFrame) -> DataFrame:
         n = len(out[0])
         return pa.table({"kind": pa.array([kind] * n, pa.int32()), "range": pa.array([number] * n, pa.int32()), "block": pa.array(out[0], pa.int64()), "train": pa.array(out[1], pa.binary()), "gone": pa.array(out[2], pa.binary()), "distinct": pa.array(out[3], pa.int64())})
 
-    return asking.groupBy("kind", "range").applyInArrow(run, "kind int, range int, block long, train binary, gone binary, distinct long")
+    # a task for each range: what it reads is bounded by RANGE_KEYS, however large the corpus
+    dealt = asking.repartition(max(1, sum(ranges)), "kind", "range")
+    return dealt.groupBy("kind", "range").applyInArrow(run, "kind int, range int, block long, train binary, gone binary, distinct long")
 
 
 def together(packed: pa.Table, answers: pa.Table) -> tuple[Block, list[list[np.ndarray]]]:
@@ -242,6 +244,11 @@ def together(packed: pa.Table, answers: pa.Table) -> tuple[Block, list[list[np.n
     return block, counts
 
 
+def by_block(df: DataFrame, totals: dict[str, int]) -> DataFrame:
+    """Rows dealt by block, to a task for each, about: a task's size is a block's, whatever the corpus'."""
+    return df.repartition(max(1, totals["blocks"]), "block")
+
+
 def tallies(packed: DataFrame, answers: DataFrame, totals: dict[str, int]) -> DataFrame:
     """How often the deleted fold's tokens have which context octave and which probabilities, in
     steps; at most 64 x 64 STEPS x 64 STEPS cells whatever the corpus."""
@@ -258,7 +265,7 @@ def tallies(packed: DataFrame, answers: DataFrame, totals: dict[str, int]) -> Da
         return pa.table({"octave": pa.array(cells[0].astype(np.int32)), "p2": pa.array(cells[1].astype(np.int32)), "p1": pa.array(cells[2].astype(np.int32)), "n": pa.array(n.astype(np.int64))})
 
     odd = "block % 2 = 1"
-    each = packed.where(odd).select("block", *PACKED).groupBy("block").cogroup(answers.where(odd).groupBy("block")).applyInArrow(run, "octave int, p2 int, p1 int, n long")
+    each = by_block(packed.where(odd).select("block", *PACKED), totals).groupBy("block").cogroup(by_block(answers.where(odd), totals).groupBy("block")).applyInArrow(run, "octave int, p2 int, p1 int, n long")
     return each.groupBy("octave", "p2", "p1").agg(F.sum("n").alias("n"))
 
 
@@ -300,14 +307,16 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     empty result. Other columns are not read.
     """
     packed = saved(blocks(docs, id_col, text_col), "blocks")
-    sums = packed.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(a) for c, a in (("train_tokens", "tokens"), ("train_texts", "texts"), ("words", "words"), ("bigrams", "bigrams"), (F.when(F.col("deleted"), F.col("train_tokens")), "gone_tokens"), (F.when(F.col("deleted"), F.col("train_texts")), "gone_texts")))).first()
+    sums = packed.agg(F.count("*").alias("blocks"), *(F.coalesce(F.sum(c), F.lit(0)).alias(a) for c, a in (("train_tokens", "tokens"), ("train_texts", "texts"), ("words", "words"), ("bigrams", "bigrams"), (F.when(F.col("deleted"), F.col("train_tokens")), "gone_tokens"), (F.when(F.col("deleted"), F.col("train_texts")), "gone_texts")))).first()
     totals = {k: int(v) for k, v in sums.asDict().items()}
     ranges = tuple(max(1, -(-totals[k] // RANGE_KEYS)) for k in ("words", "bigrams"))
-    answers = saved(answered(asked(packed, ranges)), "answers")
+    answers = saved(answered(asked(packed, ranges), ranges), "answers")
     # START is asked for but is no token of any text
     vocabulary = int(answers.where("block is null and kind = 0").agg(F.coalesce(F.sum("distinct"), F.lit(0))).first()[0])
     given = answers.where("block is not null").drop("distinct")
-    cells = np.array([tuple(r) for r in tallies(packed, given, totals).collect()], np.int64).reshape(-1, 4)
+    # as columns of numbers: some 20 bytes a cell, and their number does not grow with the corpus
+    table = tallies(packed, given, totals).orderBy("octave", "p2", "p1").toArrow()
+    cells = np.stack([c.to_numpy().astype(np.int64) for c in table.columns], axis=1)
     weights = weights_of(cells, vocabulary)
     n, texts = totals["tokens"], totals["texts"]
     id_kind = dict(docs.dtypes)[id_col]
@@ -332,4 +341,4 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         )
 
     schema = f"`{id_col}` {id_kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return packed.select("block", "ids", *PACKED).groupBy("block").cogroup(given.groupBy("block")).applyInArrow(run, schema)
+    return by_block(packed.select("block", "ids", *PACKED), totals).groupBy("block").cogroup(by_block(given, totals).groupBy("block")).applyInArrow(run, schema)

@@ -144,6 +144,59 @@ def test_model_is_a_distribution():
     assert np.allclose(w.sum(axis=1), 1) and (w >= 0).all() and w[0, 0] == 0 and w[3, 0] > 0.3
 
 
+def test_scores_of_a_dictionary_model(spark, monkeypatch):
+    """Every score against counts in dictionaries and weights by plain expectation-maximisation over
+    tokens; the operator's weights come from probabilities in steps of an eighth of an octave."""
+    rnd = random.Random(9)
+    words = ["a", "b", "c", "dd", "e", "Ff", "g", "ÄÖ"] + [f"w{k}" for k in range(60)]
+    texts = [" ".join(rnd.choice(words[: 8 if rnd.random() < 0.7 else 68]) for _ in range(rnd.randrange(40))) for _ in range(300)]
+    monkeypatch.setattr(language_model, "BLOCK_TOKENS", 700)
+    monkeypatch.setattr(language_model, "RANGE_KEYS", 50)
+    found = {r["doc_id"]: r for r in language_model.score_texts(docs(spark, *texts)).collect()}
+    lower = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+    tokens = [t.translate(lower).split() + ["\n"] for t in texts]
+    fold = [common.fold_of_text(k) for k in range(len(texts))]
+
+    def counts(keep):
+        uni, bi, context = {}, {}, {}
+        for ws, f in zip(tokens, fold, strict=True):
+            if keep(f):
+                for v, w in zip(["\t", *ws], ws, strict=False):
+                    uni[w], bi[v, w], context[v] = uni.get(w, 0) + 1, bi.get((v, w), 0) + 1, context.get(v, 0) + 1
+        return uni, bi, context, sum(uni.values())
+
+    uni, bi, context, n = counts(lambda f: f != 1)
+    size = len(uni)
+
+    def parts(v, w, model):
+        u, b, c, total = model
+        return (b.get((v, w), 0) / c[v] if c.get(v) else 0.0, u.get(w, 0) / total, 1 / (size + 1))
+
+    less = counts(lambda f: f not in (1, 2))
+    seen = [(less[2].get(v, 0).bit_length(), parts(v, w, less)) for ws, f in zip(tokens, fold, strict=True) if f == 2 for v, w in zip(["\t", *ws], ws, strict=False)]
+
+    def learn(rows, start):
+        w = list(start)
+        for _ in range(60):
+            gained = [0.5 * s for s in start]
+            for p in rows:
+                total = sum(a * b for a, b in zip(p, w, strict=True))
+                gained = [g + a * b / total for g, a, b in zip(gained, p, w, strict=True)]
+            w = [g / sum(gained) for g in gained]
+        return w
+
+    whole = learn([p for _, p in seen], [1 / 3] * 3)
+    weights = {}
+    for k in range(20):
+        start = whole if k else [0.0, whole[1] / (whole[1] + whole[2]), whole[2] / (whole[1] + whole[2])]
+        rows = [p for o, p in seen if o == k]
+        weights[k] = learn(rows, start) if rows else start
+    for k, ws in enumerate(tokens):
+        score = sum(np.log10(sum(a * b for a, b in zip(parts(v, w, (uni, bi, context, n)), weights[context.get(v, 0).bit_length()], strict=True))) for v, w in zip(["\t", *ws], ws, strict=False))
+        assert found[k]["score"] == pytest.approx(score, rel=0.01, abs=0.02)
+        assert (found[k]["n_tokens"], found[k]["n_known"], found[k]["train_tokens"]) == (len(ws), sum(w in uni for w in ws), n)
+
+
 def test_blocks_round_trip():
     block = language_model.Block.of([[b"a", b"b"], [], [b"b", b"a", b"b"]], [0, 1, 2])
     again = language_model.Block.unpack(block.pack())
