@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 SHINGLE = 5
 #: Shingles that begin in a chunk; bounds the arrays of one row.
 CHUNK = 4_096
+#: Characters of templates whose bands are broadcast at once.
+PASS_CHARS = 1_000_000
 
 
 #: Shingles from one row of windows to the next, and those that a row's windows reach over.
@@ -46,12 +48,17 @@ class Scale:
 
 SCALES = (Scale(1, 1, 1, 1), Scale(4, 2, 6, 2), Scale(8, 4, 4, 9))
 
-# Notices and opening passages of public licenses.
+# Notices, opening passages and full terms of public licenses.
 TEMPLATES = {
     "Apache-2.0-notice": "Licensed under the Apache License, Version 2.0",
     "Apache-2.0-header": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
     "MIT-notice": "Released under the MIT License",
     "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+    "MIT-full": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    "ISC-full": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    "BSD-2-Clause-full": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    "Zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.",
+    "0BSD": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.",
     "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
     "BSD-2-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
     "BSD-3-Clause-endorsement": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
@@ -177,27 +184,48 @@ def keys_of_row() -> tuple[Column, Column]:
     return F.array(*(band_keys([h], 0)[0] for h in shingle[:STEP])), F.array(*keys)
 
 
+def passes(templates: dict[str, str]) -> list[dict[str, str]]:
+    """Templates in runs of at most PASS_CHARS characters (or of one template)."""
+    out: list[dict[str, str]] = []
+    size = 0
+    for name, text in sorted(templates.items()):
+        if not out or size + len(text) > PASS_CHARS:
+            out.append({})
+            size = 0
+        out[-1][name] = text
+        size += len(text)
+    return out
+
+
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, containment: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Licenses found in whole documents.
 
-    Returns a row for each document and license found: id_col, license, n_shingles, n_found,
+    Returns a row for each row of docs and license found: id_col, license, n_shingles, n_found,
     containment double, first_word and last_word (0-based, of the hits).
 
-    Templates come from code: a few hundred at most, and their bands are broadcast after a check
-    of their number. Null and empty texts and texts of fewer than five words: no row. Rows of one
-    id (null too) are one document. Empty table: empty result. Other columns are not read.
+    Templates come from code; the bands of at most PASS_CHARS characters of them are broadcast at
+    once, more take several passes. Null and empty texts and texts of fewer than five words: no row.
+    Rows stand for themselves, whatever their id: rows of one id, or of none, are scanned one by
+    one. No templates or empty table: empty result. Other columns are not read.
     """
-    spark = docs.sparkSession
-    wanted = TEMPLATES if templates is None else templates
-    if sum(map(len, wanted.values())) > 1_000_000:
-        raise ValueError("templates of more than a million characters are not broadcast; scan with a part of them at a time")
-    bands = template_bands(template_table(spark, wanted), containment)
+    numbered = docs.select(id_col, text_col, F.monotonically_increasing_id().alias("scan_row"))
+    out = None
+    for some in passes(TEMPLATES if templates is None else templates) or [{}]:
+        found = scan_pass(numbered, some, containment, id_col, text_col)
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def scan_pass(numbered: DataFrame, templates: dict[str, str], containment: float, id_col: str, text_col: str) -> DataFrame:
+    """scan() by one run of templates. The rows' numbers are used within one pass over them only."""
+    bands = template_bands(template_table(numbered.sparkSession, templates), containment)
     single, larger = keys_of_row()
+    key = F.struct(F.col(id_col).alias("id"), F.col("scan_row").alias("row"))
     # a step of its own: what keys have in common is computed once in a projection, not in a generator
-    keyed = windows_of(docs, id_col, text_col).select("id", "place", single.alias("single"), larger.alias("larger"))
+    keyed = windows_of(numbered.select(key.alias("key"), text_col), "key", text_col).select("id", "place", single.alias("single"), larger.alias("larger"))
     keyed = keyed.select("id", "place", F.posexplode(F.concat("single", F.array_distinct("larger"))).alias("k", "band"))
     hits = keyed.join(F.broadcast(bands), "band").select("id", "license", "n_shingles", "retrieves", F.expr("if(counts, band, null)").alias("shingle"), F.expr("if(counts, place + k, null)").alias("word"))
     each = hits.groupBy("id", "license", "n_shingles", "shingle").agg(F.min("word").alias("low"), F.max("word").alias("high"), F.max("retrieves").alias("retrieves"))
     found = each.groupBy("id", "license", "n_shingles").agg(F.count("shingle").alias("n_found"), F.min("low").alias("first_word"), (F.max("high") + SHINGLE - 1).alias("last_word"), F.max("retrieves").alias("retrieved")).where("retrieved AND n_found > 0")
     share = F.col("n_found") / F.col("n_shingles")
-    return found.where(share >= containment).select(F.col("id").alias(id_col), "license", F.col("n_shingles").cast("long"), F.col("n_found").cast("long"), share.alias("containment"), F.col("first_word").cast("long"), F.col("last_word").cast("long"))
+    return found.where(share >= containment).select(F.col("id.id").alias(id_col), "license", F.col("n_shingles").cast("long"), F.col("n_found").cast("long"), share.alias("containment"), F.col("first_word").cast("long"), F.col("last_word").cast("long"))

@@ -29,9 +29,9 @@ def license_sql() -> str:
         WITH t AS (SELECT license, {words.format("text")} AS w FROM (VALUES {values}) v(license, text)),
         ts AS (SELECT DISTINCT license, array_to_string(w[i : i + 4], ' ') AS s FROM (SELECT license, w, unnest(range(1, len(w) - 3)) AS i FROM t)),
         tn AS (SELECT license, count(*) AS n_shingles FROM ts GROUP BY license),
-        d AS (SELECT doc_id, {words.format("coalesce(text, '')")} AS w FROM documents),
-        ds AS (SELECT doc_id, i - 1 AS pos, array_to_string(w[i : i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) >= 5)),
-        m AS (SELECT doc_id, license, count(DISTINCT s) AS n_found, min(pos)::BIGINT AS first_word, max(pos)::BIGINT + 4 AS last_word FROM ds JOIN ts USING (s) GROUP BY doc_id, license)
+        d AS (SELECT row_number() OVER () AS r, doc_id, {words.format("coalesce(text, '')")} AS w FROM documents),
+        ds AS (SELECT r, doc_id, i - 1 AS pos, array_to_string(w[i : i + 4], ' ') AS s FROM (SELECT r, doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) >= 5)),
+        m AS (SELECT r, doc_id, license, count(DISTINCT s) AS n_found, min(pos)::BIGINT AS first_word, max(pos)::BIGINT + 4 AS last_word FROM ds JOIN ts USING (s) GROUP BY r, doc_id, license)
         SELECT doc_id, license, n_shingles, n_found, n_found / n_shingles AS containment, first_word, last_word
         FROM m JOIN tn USING (license) WHERE n_found / n_shingles >= 0.8
     """

@@ -307,6 +307,33 @@ def test_license_scan(spark, odd):
         assert licenses.scan(one).count() == 1
 
 
+def test_license_rows_stand_for_themselves(spark, monkeypatch):
+    mit = licenses.TEMPLATES["MIT"].split()
+    halves = [" ".join(mit[: len(mit) // 2]), " ".join(mit[len(mit) // 2 :])]
+    rows = [(i, t) for i in (None, 4) for t in halves] + [(5, " ".join(mit)), (5, " ".join(mit)), (None, " ".join(mit))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    whole = sorted(map(str, licenses.scan(df).collect()))
+    assert [r["doc_id"] for r in licenses.scan(df).orderBy(F.col("doc_id").asc_nulls_first()).collect()] == [None, 5, 5]
+    monkeypatch.setattr(licenses, "PASS_CHARS", 500)
+    assert len(licenses.passes(licenses.TEMPLATES)) > 5 and sorted(map(str, licenses.scan(df).collect())) == whole
+    assert licenses.scan(df, {}).count() == 0
+
+
+def test_near_copies_are_recalled(spark):
+    """Edited copies of templates: all whose containment is 0.8 or more are found, none below."""
+    rnd = random.Random(11)
+    texts = []
+    for name in ("MIT", "GPL-3.0-header", "Zlib", "MPL-2.0-header"):
+        for k in range(60):
+            words = licenses.TEMPLATES[name].split()
+            for _ in range(k % 6):
+                words[rnd.randrange(len(words))] = "changed"
+            texts.append(" ".join(["filler"] * rnd.randrange(30) + words))
+    found = {(r["doc_id"], r["license"]): r["containment"] for r in licenses.scan(docs(spark, *texts)).collect()}
+    expected = {(k, name): v[0] for k, t in enumerate(texts) for name, v in brute_licenses(t, 0.8).items()}
+    assert set(found) == set(expected) and min(found.values()) < 0.9
+
+
 def test_bands_guarantee_collisions():
     for text in licenses.TEMPLATES.values():
         m = len(text.split()) - 4
