@@ -9,9 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkpact.functions.translate import to_spark
 from sparkpact.functions.types import spark_type
 from sparkpact.operators import contracts as C
 from sparkpact.plans.references import relation_references
@@ -28,8 +30,20 @@ def _guard(found: DataFrame, what: str) -> None:
 
 
 def translated(expression: str) -> str:
-    """A server expression in Spark SQL, as far as they differ in casts."""
-    return expression.replace("~~*", "ILIKE").replace("~~", "LIKE")
+    """A server expression in Spark SQL."""
+    return to_spark(expression)
+
+
+def run_query(spark: SparkSession, query: str, tables: dict[str, DataFrame]) -> DataFrame:
+    """A server query over tables by key. Each relation it names becomes a common table of its own
+    name, so that it may stand wherever a relation may, with or without an alias."""
+    found = {t: t.removeprefix("public.").replace(".", "__") for t in sorted(relation_references(query)) if t in tables}
+    text = to_spark(query, found.get)
+    shared = ", ".join(f"`{name}` AS (SELECT * FROM {{r{k}}})" for k, name in enumerate(found.values()))
+    if shared:
+        head, rest = ("WITH RECURSIVE", text[15:]) if text[:15].lower() == "with recursive " else ("WITH", text[5:]) if text[:5].lower() == "with " else ("WITH", "")
+        text = f"{head} {shared}, {rest}" if rest else f"{head} {shared} {text}"
+    return spark.sql(text, **{f"r{k}": tables[t] for k, t in enumerate(found)})
 
 
 def apply_operation(spark: SparkSession, tables: dict[str, DataFrame], op: dict) -> dict[str, DataFrame]:
@@ -65,6 +79,8 @@ def apply_operation(spark: SparkSession, tables: dict[str, DataFrame], op: dict)
                 _guard(out[parent].where(F.col(name).isNull()), f"{key} is NOT NULL")
         return out
     if what == "backfill":
+        if new.get("default") and "nextval" not in new["default"]:
+            out[parent] = own.withColumn(name, F.coalesce(F.col(name), F.expr(translated(new["default"])).cast(spark_type(new["data_type"]))))
         return out
     if what == "create":
         if kind == "primary_key":
@@ -75,30 +91,33 @@ def apply_operation(spark: SparkSession, tables: dict[str, DataFrame], op: dict)
             _guard(C.unique_violations(keyed, keyed.columns), f"unique index {key}")
         elif kind == "foreign_key" and new["ref_table"] in tables:
             _guard(C.foreign_key_orphans(own, tables[new["ref_table"]], new["columns"], new["ref_columns"]), f"foreign key {key}")
+        elif kind == "exclusion":
+            _guard(exclusion_violations(own, new["elements"], new.get("where")), f"exclusion constraint {key}")
         elif kind == "check":
             _guard(C.check_violations(own, {name: F.expr(translated(new["expression"]))}), f"check {key}")
     if kind == "view":
         if what == "drop":
             out.pop(key, None)
         else:
-            query = new["query"]
-            frames = {}
-            for k, target in enumerate(sorted(relation_references(query), key=len, reverse=True)):
-                if target in tables:
-                    frames[f"r{k}"] = tables[target]
-                    short = target.removeprefix("public.")
-                    query = _replace_relation(query, short, f"{{r{k}}} AS {short.split('.')[-1]}", f"{{r{k}}}")
-            out[key] = spark.sql(query, **frames)
+            view = run_query(spark, new["query"], tables)
+            out[key] = view.toDF(*new["columns"]) if new.get("columns") else view
     return out
 
 
-def _replace_relation(query: str, name: str, alone: str, aliased: str) -> str:
-    """Put a DataFrame in a relation's place; it keeps its name as an alias unless it has one."""
-    import re
-
-    keywords = "where|on|join|inner|left|right|full|cross|group|order|having|limit|union|except|intersect|using|window|fetch|offset"
-    pattern = re.compile(rf"(?i)\b(from|join)\s+(?:public\.)?{re.escape(name)}\b(?P<alias>\s+(?:as\s+)?(?!(?:{keywords})\b)[a-z_]\w*)?")
-    return pattern.sub(lambda m: f"{m[1]} {aliased}{m['alias']}" if m["alias"] else f"{m[1]} {alone}", query)
+def exclusion_violations(df: DataFrame, elements: list[dict], where: str | None) -> DataFrame:
+    """Pairs of rows that an exclusion constraint forbids: equal in its = elements, and overlapping in
+    its && element (a range column: a struct with lower and upper, open where NULL)."""
+    rows = df.where(F.expr(translated(where))) if where else df
+    equal = [e["expr"] for e in elements if e["op"] == "="]
+    over = [e["expr"] for e in elements if e["op"] == "&&"]
+    if len(equal) + len(over) != len(elements) or len(over) > 1:
+        raise ValueError(f"exclusion operators {[e['op'] for e in elements]}")
+    keyed = rows.select(*(F.expr(translated(e)).alias(f"k{n}") for n, e in enumerate(equal)), *(F.expr(translated(e)).alias("span") for e in over), F.monotonically_increasing_id().alias("row"))
+    names = [f"k{n}" for n in range(len(equal))]
+    if not over:
+        return C.unique_violations(keyed, names)
+    bound = lambda side: F.col(f"span.{side}").cast("timestamp").cast("double") if dict(rows.select(F.expr(translated(over[0])).alias("s")).select("s.lower").dtypes)["lower"] in ("date", "timestamp", "timestamp_ntz") else F.col(f"span.{side}").cast("double")
+    return C.exclusion_conflicts(keyed.where("span is not null"), "row", names, bound("lower"), bound("upper"), 1.0)
 
 
 def apply_migration(spark: SparkSession, tables: dict[str, DataFrame], ops: Iterable[dict]) -> dict[str, DataFrame]:
@@ -114,6 +133,6 @@ def validate(spark: SparkSession, tables: dict[str, DataFrame], ops: Iterable[di
     for op in ops:
         try:
             tables = apply_operation(spark, tables, op)
-        except ContractViolation as e:
-            errors.append(str(e))
+        except (ContractViolation, ValueError, PySparkException) as e:
+            errors.append(f"{op['op']} {op['kind']} {op['key']}: {str(e).splitlines()[0]}" if not isinstance(e, ContractViolation) else str(e))
     return errors

@@ -24,6 +24,11 @@ def compared(o: Obj) -> dict[str, str]:
     """The attributes that count for equality, in canonical form."""
     spec, text = KINDS[o.kind], o.text_attrs()
     out = {a: text[a] for a in spec.compare if a in text}
+    for a in ("deferrable", "initially_deferred"):
+        if a in spec.compare:
+            out.setdefault(a, "false")
+    if o.kind == "function" and o.attrs.get("args"):
+        out["args"] = json.dumps([{**x, "default": canonical(x["default"]) if x.get("default") else None} for x in o.attrs["args"]], sort_keys=True)
     for a in spec.expressions:
         if a in text:
             if o.kind == "function":
@@ -93,6 +98,8 @@ def diff(spark: SparkSession, current: Catalog, target: Catalog, manage_ownershi
         ops = ops.where(~((F.col("kind") == "enum") & (F.col("op") == "alter")) | (F.size(F.array_except(values("new"), values("old"))) > 0))
     if excluded_roles:
         ops = ops.where(~((F.col("kind") == "grant") & F.lower(F.coalesce(F.col("new")["grantee"], F.col("old")["grantee"])).isin([r.lower() for r in excluded_roles])))
+    # who owns what nobody declares an owner of is no matter of the declaration
+    ops = ops.where("not (kind = 'owner' and op = 'drop')")
     # what a table holds goes with the table
     gone = ops.where("op = 'drop' and kind in ('table', 'partition')").select(F.col("key").alias("gone"))
     parts = F.col("kind").isin("column", "primary_key", "index", "foreign_key", "check", "exclusion", "trigger", "policy")
@@ -107,47 +114,53 @@ def reference_relation(spark: SparkSession, catalog: Catalog) -> DataFrame:
     return spark.createDataFrame(sorted(catalog_references(catalog)), "kind string, owner string, target string")
 
 
-def dependent_closure(references: DataFrame, roots: Iterable[str]) -> DataFrame:
-    """Owners that reach one of the roots through references, transitively.
+def reaching(pairs: Iterable[tuple[str, str]], roots: Iterable[str]) -> set[str]:
+    """Owners that reach one of the roots through (owner, target) pairs, by frontiers: each owner is
+    met once, however long the chains and however many the paths; cycles end where they were."""
+    owners: dict[str, set[str]] = {}
+    for owner, target in pairs:
+        owners.setdefault(target, set()).add(owner)
+    found: set[str] = set()
+    frontier = set(roots)
+    while frontier:
+        frontier = {o for t in frontier for o in owners.get(t, ())} - found
+        found |= frontier
+    return found
 
-    A recursive query with a bound on depth by the path it carries; cycles end at a repeated owner.
-    """
-    spark = references.sparkSession
-    start = spark.createDataFrame([(r,) for r in roots], "root string")
-    return spark.sql(
-        """WITH RECURSIVE reach(owner, path) AS (
-             SELECT r.owner, array(r.owner) FROM {refs} r JOIN {roots} s ON r.target = s.root
-             UNION ALL
-             SELECT r.owner, array_append(c.path, r.owner) FROM {refs} r JOIN reach c ON r.target = c.owner WHERE NOT array_contains(c.path, r.owner)
-           ) SELECT DISTINCT owner FROM reach""",
-        refs=references,
-        roots=start,
-    )
+
+def dependent_closure(references: DataFrame, roots: Iterable[str]) -> DataFrame:
+    """(owner) of those that reach one of the roots through references (owner, target), transitively.
+    References are metadata, a row for each name that a declaration holds, and are walked on the driver."""
+    pairs = [tuple(r) for r in references.select("owner", "target").distinct().collect()]
+    return references.sparkSession.createDataFrame([(o,) for o in sorted(reaching(pairs, roots))], "owner string")
 
 
 def with_recreations(spark: SparkSession, ops: DataFrame, current: Catalog, target: Catalog) -> DataFrame:
     """Add the drop and create of views, policies, triggers and foreign keys that stand in the way
-    of a type change or a dropped column, and take out the alters they replace."""
-    touched = [r["parent"] for r in ops.where("kind = 'column' and (op = 'drop' or op = 'alter' and array_contains(changed, 'data_type'))").select("parent").distinct().collect()]
-    dropped_functions = [r["key"].partition("(")[0] for r in ops.where("kind = 'function' and op = 'drop'").select("key").collect()]
-    if not touched and not dropped_functions:
+    of a type change or a dropped column, and take out the alters they replace. The operations that
+    can force any come to the driver once."""
+    from sparkpact.plans.references import catalog_references
+
+    forcing = ops.where("kind = 'column' and (op = 'drop' or op = 'alter' and array_contains(changed, 'data_type')) or kind = 'function' and op = 'drop'").select("op", "kind", "key", "parent", "name").collect()
+    if not forcing:
         return ops
-    references = reference_relation(spark, current)
-    views = references.where("kind = 'view'")
-    forced = {("view", r["owner"]) for r in dependent_closure(views.select("owner", "target"), touched or [""]).collect()}
+    touched = {r["parent"] for r in forcing if r["kind"] == "column"}
+    typed = {(r["parent"], r["name"]) for r in forcing if r["kind"] == "column" and r["op"] == "alter"}
+    dropped_functions = {r["key"].partition("(")[0] for r in forcing if r["kind"] == "function"}
+    references = catalog_references(current)
+    forced = {("view", o) for o in reaching([(o, t) for kind, o, t in references if kind == "view"], touched)}
     forced |= {(o.kind, o.key) for o in [*current.of("policy"), *current.of("trigger")] if o.parent in touched}
-    typed = {(r["parent"], r["name"]) for r in ops.where("kind = 'column' and op = 'alter' and array_contains(changed, 'data_type')").select("parent", "name").collect()}
     for o in current.of("foreign_key"):
         ends = {(o.parent, c) for c in o.attrs["columns"]} | {(o.attrs["ref_table"], c) for c in o.attrs["ref_columns"]}
         if ends & typed:
             forced.add((o.kind, o.key))
-    forced |= {(r["kind"], r["owner"]) for r in references.where(F.col("kind").isin("policy", "view") & F.col("target").isin(dropped_functions)).collect()}
+    forced |= {(kind, o) for kind, o, t in references if kind in ("policy", "view") and t in dropped_functions}
     rows = []
     for kind, key in sorted(forced):
-        for op, o in (("drop", current.get(kind, key)), ("create", target.get(kind, key))):
+        old, new = current.get(kind, key), target.get(kind, key)
+        for op, o in (("drop", old), ("create", new)):
             if o is not None:
-                other = target.get(kind, key) if op == "drop" else current.get(kind, key)
-                rows.append((op, kind, key, o.schema, o.parent, o.name, [], current.get(kind, key) and current.get(kind, key).text_attrs(), other and target.get(kind, key).text_attrs() if op == "drop" else o.text_attrs()))
+                rows.append((op, kind, key, o.schema, o.parent, o.name, [], old and old.text_attrs(), new and new.text_attrs()))
     if not rows:
         return ops
     more = spark.createDataFrame(rows, OP_SCHEMA)
@@ -168,13 +181,19 @@ def apply_ops(current: Catalog, ops: Iterable) -> Catalog:
 
 
 def grant_changes(current: DataFrame, target: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """(keys, grantee, op, privileges): what to grant and to revoke, by set difference for each grantee."""
+    """(keys, grantee, op, privileges): what to grant and to revoke, by set difference for each grantee.
+
+    Where the relations have a column grantable (the privileges held with grant option), also op
+    grant option and revoke option, for privileges that stay. What is granted anew with the option
+    comes as grant option only.
+    """
     on = [*keys, "grantee"]
     none = F.array().cast("array<string>")
-    gather = lambda df, name: df.groupBy(*on).agg(F.array_distinct(F.flatten(F.collect_list("privileges"))).alias(name))
+    gather = lambda df, p: df.groupBy(*on).agg(*(F.array_distinct(F.flatten(F.collect_list(c if c in df.columns else none))).alias(f"{p}_{c}") for c in ("privileges", "grantable")))
     both = gather(current, "c").join(gather(target, "t"), on, "full_outer")
-    c, t = F.coalesce("c", none), F.coalesce("t", none)
-    pairs = F.array(F.struct(F.lit("grant").alias("op"), F.array_except(t, c).alias("privileges")), F.struct(F.lit("revoke").alias("op"), F.array_except(c, t).alias("privileges")))
+    have, want, could, can = (F.coalesce(c, none) for c in ("c_privileges", "t_privileges", "c_grantable", "t_grantable"))
+    steps = {"grant": F.array_except(F.array_except(want, have), can), "revoke": F.array_except(have, want), "grant option": F.array_except(can, could), "revoke option": F.array_except(F.array_intersect(could, want), can)}
+    pairs = F.array(*(F.struct(F.lit(op).alias("op"), privileges.alias("privileges")) for op, privileges in steps.items()))
     return both.select(*on, F.explode(pairs).alias("p")).select(*on, "p.op", F.array_sort("p.privileges").alias("privileges")).where("size(privileges) > 0")
 
 
@@ -189,4 +208,4 @@ def same_type(a: str, b: str) -> bool:
     return canonical_type(a) == canonical_type(b)
 
 
-__all__ = ["apply_ops", "compared", "dependent_closure", "diff", "diff_relations", "grant_changes", "new_enum_values", "relation", "same_body", "same_type"]
+__all__ = ["apply_ops", "compared", "dependent_closure", "diff", "diff_relations", "grant_changes", "new_enum_values", "reaching", "relation", "same_body", "same_type"]

@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Iterable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Rule ids with what they look at: op, kind, severity, message. Destructive rules are
@@ -14,6 +12,7 @@ RULES = [
     ("deny_drop_column", "drop", "column", "error", True, "dropping a column loses its data"),
     ("deny_drop_table", "drop", "table", "error", True, "dropping a table loses its data"),
     ("deny_drop_table_in_prod", "drop", "table", "error", False, "tables are never dropped in production"),
+    ("deny_drop_partition", "drop", "partition", "error", True, "dropping a partition loses its rows"),
     ("warn_type_narrowing", "alter", "column", "warning", False, "the new type may not hold every value"),
     ("warn_set_not_null", "alter", "column", "warning", False, "SET NOT NULL fails where NULLs exist, and scans the table"),
     ("deny_drop_view", "drop", "view", "error", True, "dropping a view breaks its readers"),
@@ -106,6 +105,3 @@ def lock_hazards(ops: DataFrame, compat: bool = False) -> DataFrame:
     column = ops.where("op = 'alter' and kind = 'column' and arrays_overlap(changed, array('data_type', 'nullable'))").select("op", "kind", "key", F.lit("ACCESS EXCLUSIVE").alias("lock"))
     return ops.join(locks, ["op", "kind"]).select("op", "kind", "key", "lock").unionByName(column)
 
-
-def rules_relation(spark: SparkSession, rules: Iterable[tuple] = RULES) -> DataFrame:
-    return spark.createDataFrame(list(rules), "rule string, op string, kind string, severity string, destructive boolean, message string")

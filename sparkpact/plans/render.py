@@ -128,6 +128,16 @@ def enum_steps(key: str, old: list[str], new: list[str]) -> list[str]:
     return out
 
 
+def option_steps(old: dict, new: dict, head: str, on: str, grantee: str) -> list[str]:
+    """GRANT and REVOKE GRANT OPTION FOR, privilege by privilege."""
+    have, want, could, can = (set(side.get(k) or []) for k in ("privileges", "grantable") for side in (old, new))
+    out = []
+    for privileges, verb, tail in ((could & want - can, f"{head}REVOKE GRANT OPTION FOR", f"{on} FROM {grantee};"), (want - have - can, f"{head}GRANT", f"{on} TO {grantee};"), (can - could, f"{head}GRANT", f"{on} TO {grantee} WITH GRANT OPTION;")):
+        if privileges:
+            out.append(f"{verb} {', '.join(sorted(privileges))}{tail}")
+    return out
+
+
 def sql_of(op: dict) -> list[str]:
     """The statements of one operation."""
     kind, key, name, parent = op["kind"], op["key"], op["name"], op["parent"] or ""
@@ -219,6 +229,9 @@ def sql_of(op: dict) -> list[str]:
             out.append(f"{head} SET DEFAULT {a['default']};" if a.get("default") is not None else f"{head} DROP DEFAULT;")
         if "nullable" in changed:
             out.append(f"{head} {'DROP' if a.get('nullable', True) else 'SET'} NOT NULL;")
+        if "identity" in changed:
+            now, was = a.get("identity"), old.get("identity")
+            out.append(f"{head} DROP IDENTITY;" if not now else f"{head} SET GENERATED {now.upper()};" if was else f"{head} ADD GENERATED {now.upper()} AS IDENTITY;")
         return out
     if kind == "primary_key":
         constraint = (a or old).get("constraint") or f"{parent.split('.')[-1]}_pkey"
@@ -281,18 +294,13 @@ def sql_of(op: dict) -> list[str]:
         have, want, out = set(old.get("privileges") or []), set(a.get("privileges") or []), []
         if have - want:
             out.append(f"REVOKE {', '.join(sorted(have - want))} ON {target} FROM {role(own['grantee'])};")
-        if old.get("with_grant_option") and not a.get("with_grant_option") and have & want:
-            out.append(f"REVOKE GRANT OPTION FOR {', '.join(sorted(have & want))} ON {target} FROM {role(own['grantee'])};")
-        more = want if a.get("with_grant_option") and not old.get("with_grant_option") else want - have
-        if more:
-            out.append(f"GRANT {', '.join(sorted(more))} ON {target} TO {role(own['grantee'])}{' WITH GRANT OPTION' if a.get('with_grant_option') else ''};")
-        return out
+        return out + option_steps(old, a, "", f" ON {target}", role(own["grantee"]))
     if kind == "default_privilege":
         own = a or old
         head = "ALTER DEFAULT PRIVILEGES" + ("" if own["role"] == "CURRENT_ROLE" else f" FOR ROLE {role(own['role'])}") + (f" IN SCHEMA {ident(own['in_schema'])}" if own.get("in_schema") else "")
         have, want = set(old.get("privileges") or []), set(a.get("privileges") or [])
         out = [f"{head} REVOKE {', '.join(sorted(have - want))} ON {own['object_type'].upper()} FROM {role(own['grantee'])};"] if have - want else []
-        return out + ([f"{head} GRANT {', '.join(sorted(want - have))} ON {own['object_type'].upper()} TO {role(own['grantee'])}{' WITH GRANT OPTION' if a.get('with_grant_option') else ''};"] if want - have else [])
+        return out + option_steps(old, a, f"{head} ", f" ON {own['object_type'].upper()}", role(own["grantee"]))
     if kind == "comment":
         on_kind, _, on_key = (a or old)["on"].partition(" ")
         if on_kind in ("trigger", "policy", "constraint"):

@@ -30,18 +30,25 @@ def query(sql: str | None = None):
     return add
 
 
+def declared_views(spark: SparkSession, sf_dir: str, ddl: str, tables: str) -> dict[str, DataFrame]:
+    """Tables and views after the views of some DDL text were made over the driver's tables."""
+    from sparkpact.operators.apply import apply_migration
+    from sparkpact.plans.lifecycle import creations
+    from sparkpact.plans.planner import dump_order
+    from sparkpact.sources.ddl import parse_ddl
+
+    frames = {f"public.{t}": spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables.split()}
+    return apply_migration(spark, frames, dump_order(creations(parse_ddl(ddl))))
+
+
 def sql_view(name: str, text: str, tables: str, oracle: str | None = None) -> None:
-    """A declared view: its query text runs as it is, over the named tables."""
+    """A declared view over the named tables: its DDL is read, planned, translated and run."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        frames = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables.split()}
-        return spark.sql(text, **frames)
+        return declared_views(spark, sf_dir, f"CREATE VIEW {name} AS {text};", tables)[f"public.{name}"]
 
     QUERIES[name] = run
-    plain = text
-    for t in tables.split():
-        plain = plain.replace("{" + t + "}", t)
-    ORACLE_SQL[name] = oracle if oracle is not None else plain
+    ORACLE_SQL[name] = oracle if oracle is not None else text
 
 
 # -- keyed differences -----------------------------------------------------------------------------
@@ -217,8 +224,9 @@ def type_narrowing_safe(t, spark):
 
 @query("""SELECT p, count(*) AS n FROM (SELECT CASE WHEN o_orderdate < TIMESTAMP '1996-01-01' THEN 'p_old' WHEN o_orderdate < TIMESTAMP '1998-01-01' THEN 'p_1996' ELSE 'p_default' END AS p FROM orders) GROUP BY p""")
 def partition_route_range_orders(t, spark):
-    day = F.col("o_orderdate").cast("string")
-    route = C.route_range(day, [("p_old", None, "1996-01-01 00:00:00"), ("p_1996", "1996-01-01 00:00:00", "1998-01-01 00:00:00")], "p_default")
+    from datetime import datetime
+
+    route = C.route_range(F.col("o_orderdate"), [("p_old", None, datetime(1996, 1, 1)), ("p_1996", datetime(1996, 1, 1), datetime(1998, 1, 1))], "p_default")
     return t("orders").select(route.alias("p")).groupBy("p").agg(F.count("*").alias("n"))
 
 
@@ -227,10 +235,17 @@ def partition_route_list_events(t, spark):
     return t("events").select("event_id", C.route_list(F.col("event_type"), {"p_web": ["click", "view"], "p_sales": ["purchase"]}, "p_default").alias("p"))
 
 
-@query("SELECT count(*) AS n, count(*) FILTER (true) AS routed FROM orders")
+@query("SELECT o_orderkey, 'p' || (('0x' || substr(md5(o_custkey::VARCHAR), 1, 15))::BIGINT % 4)::VARCHAR AS p FROM orders")
 def partition_route_hash_orders(t, spark):
-    routed = t("orders").select(C.route_hash([F.col("o_custkey")], [(f"p{k}", 4, k) for k in range(4)]).alias("p"))
-    return routed.agg(F.count("*").alias("n"), F.count("p").alias("routed"))
+    digest = F.conv(F.substring(F.md5(F.col("o_custkey").cast("string")), 1, 15), 16, 10).cast("long")
+    return t("orders").select("o_orderkey", C.route_hash([F.col("o_custkey")], [(f"p{k}", 4, k) for k in range(4)], digest).alias("p"))
+
+
+@query("SELECT count(*) AS n, count(*) AS routed, 4::BIGINT AS partitions, true AS even FROM orders")
+def partition_route_hash_spread(t, spark):
+    """The default hash: every row has one partition, and no partition has over half of what it should have more."""
+    routed = t("orders").select(C.route_hash([F.col("o_orderkey")], [(f"p{k}", 4, k) for k in range(4)]).alias("p")).groupBy("p").agg(F.count("*").alias("n"))
+    return routed.agg(F.sum("n").alias("n"), F.sum(F.when(F.col("p").isNotNull(), F.col("n"))).alias("routed"), F.count("p").alias("partitions"), (F.max("n") < 1.5 * F.sum("n") / 4).alias("even"))
 
 
 @query("SELECT l_orderkey, l_linenumber, l_extendedprice * (1 - l_discount) AS net, l_extendedprice * (1 - l_discount) * (1 + l_tax) AS gross FROM lineitem")
@@ -256,8 +271,19 @@ def rls_customer_policy(t, spark):
 
 @query("SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_nationkey = 3)")
 def rls_subquery_policy(t, spark):
-    own = t("customer").where("c_nationkey = 3").select("c_custkey")
-    return t("orders").join(own, F.col("o_custkey") == F.col("c_custkey"), "left_semi").select("o_orderkey")
+    own = {"command": "SELECT", "exists": (t("customer").where("c_nationkey = 3"), [("o_custkey", "c_custkey")])}
+    return C.apply_policies(t("orders"), [own], "SELECT", "sales").select("o_orderkey")
+
+
+@query("""SELECT c_custkey FROM customer WHERE c_acctbal > 0 AND c_mktsegment = 'BUILDING' AND c_acctbal - 500 > -100""")
+def rls_update_with_check(t, spark):
+    """An UPDATE by 500 less: USING lets the old row through, WITH CHECK the new one; a restrictive policy binds both."""
+    policies = [
+        {"command": "UPDATE", "roles": ["sales"], "using": F.col("c_acctbal") > 0, "check": F.col("c_acctbal") > -100},
+        {"command": "ALL", "roles": ["public"], "using": F.col("c_mktsegment") == "BUILDING", "permissive": False},
+    ]
+    old = C.apply_policies(t("customer"), policies, "UPDATE", "sales")
+    return C.apply_policies(old.withColumn("c_acctbal", F.col("c_acctbal") - 500), policies, "UPDATE", "sales", written=True).select("c_custkey")
 
 
 @query("SELECT count(*) AS n FROM customer WHERE false")
@@ -292,47 +318,130 @@ def user_aggregate_group_concat(t, spark):
     return C.ordered_aggregate(t("nation"), ["n_regionkey"], F.col("n_name"), F.col("n_name"), ", ", "names")
 
 
-@query("SELECT r_regionkey, sha256(r_regionkey::VARCHAR || chr(31) || r_name) AS fingerprint FROM region")
+ROW_HASH = "sha256(concat({}))"
+
+
+def row_hash(*columns: str) -> str:
+    """A row's fingerprint in SQL."""
+    return ROW_HASH.format(", ".join(f"coalesce(length({c}::VARCHAR)::VARCHAR || ':' || {c}::VARCHAR, '~')" for c in columns))
+
+
+@query(f"SELECT r_regionkey, {row_hash('r_regionkey', 'r_name')} AS fingerprint FROM region")
 def fingerprint_rows(t, spark):
     return t("region").select("r_regionkey", C.row_fingerprint(t("region"), ["r_regionkey", "r_name"]).alias("fingerprint"))
 
 
-@query("""SELECT count(*) AS n_rows, bit_xor(('0x' || substr(sha256(concat_ws(chr(31), coalesce(n_nationkey::VARCHAR, chr(0)), coalesce(n_name, chr(0)), coalesce(n_regionkey::VARCHAR, chr(0)))), 1, 15))::BIGINT) AS fingerprint FROM nation""")
+def table_hash(rows: str, *columns: str) -> str:
+    lane = "sum(('0x' || substr(h, {}, 15))::BIGINT::HUGEINT)::VARCHAR"
+    return f"SELECT count(*) AS n_rows, {lane.format(1)} || '-' || {lane.format(16)} AS fingerprint FROM (SELECT {row_hash(*columns)} AS h FROM {rows})"
+
+
+@query(table_hash("nation", "n_nationkey", "n_name", "n_regionkey"))
 def fingerprint_tables(t, spark):
     return C.table_fingerprint(t("nation"), ["n_nationkey", "n_name", "n_regionkey"])
 
 
+@query(table_hash("(SELECT n_regionkey, nullif(n_regionkey, 2) AS k FROM nation UNION ALL SELECT n_regionkey, NULL FROM nation WHERE n_regionkey < 2)", "n_regionkey", "k"))
+def fingerprint_repeated_rows(t, spark):
+    """Rows that stand many times, and NULLs: an even number of equal rows does not cancel."""
+    rows = t("nation").select("n_regionkey", F.nullif("n_regionkey", F.lit(2)).alias("k"))
+    return C.table_fingerprint(rows.unionByName(t("nation").where("n_regionkey < 2").select("n_regionkey", F.lit(None).cast("int").alias("k"))), ["n_regionkey", "k"])
+
+
+@query("""WITH o AS (SELECT nullif(o_custkey % 50, 7) AS k, max(o_totalprice) AS v FROM orders GROUP BY 1), n AS (SELECT nullif(o_custkey % 60, 7) AS k, max(o_totalprice) AS v FROM orders GROUP BY 1)
+    SELECT CASE WHEN o_in THEN ok ELSE nk END AS k, CASE WHEN NOT o_in THEN 'create' WHEN NOT n_in THEN 'drop' ELSE 'update' END AS op FROM
+    (SELECT o.k AS ok, n.k AS nk, o.v AS ov, n.v AS nv, o.p IS NOT NULL AS o_in, n.p IS NOT NULL AS n_in FROM (SELECT *, 1 AS p FROM o) o FULL OUTER JOIN (SELECT *, 1 AS p FROM n) n ON o.k IS NOT DISTINCT FROM n.k) x
+    WHERE NOT o_in OR NOT n_in OR ov IS DISTINCT FROM nv""")
+def snapshot_diff_null_keys(t, spark):
+    side = lambda m: t("orders").groupBy(F.nullif(F.col("o_custkey") % m, F.lit(7)).alias("k")).agg(F.max("o_totalprice").alias("v"))
+    return C.changes(side(50), side(60), ["k"], ["v"]).select("k", "op")
+
+
+@query("""WITH e AS (SELECT event_id, user_id, CASE WHEN event_id % 97 = 0 THEN NULL ELSE epoch(ts)::DOUBLE END AS lo, CASE WHEN event_id % 89 = 0 THEN NULL WHEN event_id % 83 = 0 THEN epoch(ts) + 9e5 ELSE epoch(ts) + 60.0 END AS hi FROM events WHERE event_id < 3000)
+    SELECT a.event_id AS id_a, b.event_id AS id_b FROM e a JOIN e b ON a.user_id = b.user_id AND a.event_id < b.event_id AND coalesce(a.lo < b.hi, true) AND coalesce(b.lo < a.hi, true)""")
+def exclusion_open_ranges(t, spark):
+    """Ranges that are open on a side, and ranges 15,000 times as long as the others."""
+    at = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
+    key = F.col("event_id")
+    low = F.when(key % 97 != 0, at)
+    high = F.when(key % 89 == 0, F.lit(None).cast("double")).when(key % 83 == 0, at + 9e5).otherwise(at + 60.0)
+    rows = t("events").where("event_id < 3000").withColumn("low", low).withColumn("high", high)
+    return C.exclusion_conflicts(rows, "event_id", ["user_id"], F.col("low"), F.col("high"), 60.0)
+
+
+@query("""WITH RECURSIVE refs(a, b) AS (SELECT 'v' || i, 'v' || (i - 1) FROM range(1, 161) t(i) UNION ALL SELECT 'w' || i, 'v' || (i * 3) FROM range(1, 50) t(i) UNION ALL SELECT 'v1', 'v160'),
+    c(v) AS (SELECT a FROM refs WHERE b = 'v20' UNION SELECT refs.a FROM refs JOIN c ON refs.b = c.v) SELECT DISTINCT v AS view FROM c""")
+def view_closure_long_chain(t, spark):
+    """A chain of 160 views that closes into a cycle, with branches."""
+    from sparkpact.operators.diff import dependent_closure
+
+    refs = [(f"v{k}", f"v{k - 1}") for k in range(1, 161)] + [(f"w{k}", f"v{3 * k}") for k in range(1, 50)] + [("v1", "v160")]
+    return dependent_closure(spark.createDataFrame(refs, "owner string, target string"), ["v20"]).select(F.col("owner").alias("view"))
+
+
+@query("""WITH c(object, grantee, privilege, opt) AS (SELECT 'n' || n_nationkey, 'r' || (n_nationkey % 3), p, (n_nationkey + i) % 2 = 0 FROM nation, (VALUES ('SELECT', 0), ('INSERT', 1), ('UPDATE', 2)) v(p, i) WHERE (n_nationkey + i) % 4 <> 0),
+    g(object, grantee, privilege, opt) AS (SELECT 'n' || n_nationkey, 'r' || (n_nationkey % 3), p, (n_nationkey + i) % 3 = 0 FROM nation, (VALUES ('SELECT', 0), ('INSERT', 1), ('UPDATE', 2)) v(p, i) WHERE (n_nationkey + i) % 5 <> 0)
+    SELECT object, grantee, op, string_agg(privilege, ',' ORDER BY privilege) AS privileges FROM (
+      SELECT coalesce(c.object, g.object) AS object, coalesce(c.grantee, g.grantee) AS grantee, coalesce(c.privilege, g.privilege) AS privilege,
+             CASE WHEN g.object IS NULL THEN 'revoke' WHEN g.opt AND NOT coalesce(c.opt, false) THEN 'grant option' WHEN c.object IS NULL THEN 'grant' WHEN c.opt AND NOT g.opt THEN 'revoke option' END AS op
+      FROM c FULL OUTER JOIN g ON c.object = g.object AND c.grantee = g.grantee AND c.privilege = g.privilege) WHERE op IS NOT NULL GROUP BY 1, 2, 3""")
+def grant_options_by_privilege(t, spark):
+    """Grants of generated DDL on both sides; the option is a matter of each privilege."""
+    from sparkpact.operators.diff import grant_changes
+    from sparkpact.sources.ddl import parse_ddl
+
+    def side(skip: int, option: int) -> DataFrame:
+        text = []
+        for (k,) in t("nation").select("n_nationkey").collect():
+            text.append(f"CREATE TABLE n{k} (id int);")
+            for i, p in enumerate(("SELECT", "INSERT", "UPDATE")):
+                if (k + i) % skip:
+                    text.append(f"GRANT {p} ON n{k} TO r{k % 3}{' WITH GRANT OPTION' if (k + i) % option == 0 else ''};")
+        grants = parse_ddl("\n".join(text)).of("grant")
+        return spark.createDataFrame([(g.attrs["on"].split(".")[-1], g.attrs["grantee"], g.attrs["privileges"], g.attrs["grantable"]) for g in grants], "object string, grantee string, privileges array<string>, grantable array<string>")
+
+    return grant_changes(side(4, 2), side(5, 3), ["object"]).select("object", "grantee", "op", F.array_join("privileges", ",").alias("privileges"))
+
+
 # -- view surface ----------------------------------------------------------------------------------
 
-sql_view("view_filter_agg", "SELECT o_orderpriority, count(*) AS n, count(*) FILTER (WHERE o_orderstatus = 'F') AS n_f, count(DISTINCT o_custkey) AS n_cust FROM {orders} GROUP BY o_orderpriority", "orders")
-sql_view("view_cte_left_join", "WITH big AS (SELECT o_custkey, count(*) AS n FROM {orders} WHERE o_totalprice > 200000 GROUP BY o_custkey) SELECT c.c_custkey, c.c_name, coalesce(b.n, 0) AS n FROM {customer} c LEFT JOIN big b ON b.o_custkey = c.c_custkey", "orders customer")
-sql_view("view_window_frame", "SELECT l_orderkey, l_linenumber, sum(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS moving_qty FROM {lineitem}", "lineitem")
-sql_view("view_ranked", "SELECT p_partkey, p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS rn, rank() OVER (PARTITION BY p_brand ORDER BY p_size) AS rk, dense_rank() OVER (PARTITION BY p_brand ORDER BY p_size) AS dr FROM {part}", "part")
-sql_view("view_qualify_top", "SELECT * FROM (SELECT c_nationkey, c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS rn FROM {customer}) x WHERE rn <= 3", "customer")
-sql_view("view_lag_lead", "SELECT event_id, lag(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before, lead(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS after FROM {events}", "events")
-sql_view("view_union_all", "SELECT s_name AS name, 'supplier' AS kind FROM {supplier} UNION ALL SELECT c_name, 'customer' FROM {customer}", "supplier customer")
-sql_view("view_set_operations", "SELECT c_nationkey AS k FROM {customer} INTERSECT SELECT s_nationkey FROM {supplier} EXCEPT SELECT n_nationkey FROM {nation} WHERE n_regionkey = 2", "customer supplier nation", "SELECT k FROM (SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier) EXCEPT SELECT n_nationkey FROM nation WHERE n_regionkey = 2")
-sql_view("view_exists", "SELECT c_custkey FROM {customer} c WHERE EXISTS (SELECT 1 FROM {orders} o WHERE o.o_custkey = c.c_custkey AND o.o_orderstatus = 'P')", "customer orders")
-sql_view("view_not_exists", "SELECT c_custkey FROM {customer} c WHERE NOT EXISTS (SELECT 1 FROM {orders} o WHERE o.o_custkey = c.c_custkey)", "customer orders")
-sql_view("view_in_subquery", "SELECT p_partkey FROM {part} WHERE p_partkey IN (SELECT l_partkey FROM {lineitem} WHERE l_quantity > 49)", "part lineitem")
-sql_view("view_scalar_subquery", "SELECT o_orderkey FROM {orders} WHERE o_totalprice > (SELECT max(o_totalprice) * 0.9 FROM {orders})", "orders")
-sql_view("view_correlated_distinct", "SELECT n.n_name, (SELECT count(DISTINCT c.c_mktsegment) FROM {customer} c WHERE c.c_nationkey = n.n_nationkey) AS segments FROM {nation} n", "nation customer")
-sql_view("view_grouping_sets", "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM {orders} GROUP BY GROUPING SETS ((o_orderstatus), (o_orderpriority), ())", "orders")
-sql_view("view_rollup", "SELECT l_returnflag, l_linestatus, count(*) AS n FROM {lineitem} GROUP BY ROLLUP (l_returnflag, l_linestatus)", "lineitem", )
-sql_view("view_cube", "SELECT l_returnflag, l_linestatus, count(*) AS n FROM {lineitem} GROUP BY CUBE (l_returnflag, l_linestatus)", "lineitem")
-sql_view("view_having", "SELECT o_custkey, count(*) AS n FROM {orders} GROUP BY o_custkey HAVING count(*) >= 15", "orders")
-sql_view("view_case_concat_cast", "SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 'debt' WHEN c_acctbal BETWEEN 0 AND 1000 THEN 'low' ELSE 'ok' END AS band, c_name || '-' || CAST(c_nationkey AS VARCHAR(10)) AS tag FROM {customer}", "customer")
-sql_view("view_lateral", "SELECT n.n_name, x.n FROM {nation} n, LATERAL (SELECT count(*) AS n FROM {supplier} s WHERE s.s_nationkey = n.n_nationkey) x", "nation supplier")
-sql_view("view_five_way_join", "SELECT r.r_name, n.n_name, round(sum(l.l_extendedprice * (1 - l.l_discount)), 2) AS revenue FROM {lineitem} l JOIN {orders} o ON l.l_orderkey = o.o_orderkey JOIN {customer} c ON o.o_custkey = c.c_custkey JOIN {nation} n ON c.c_nationkey = n.n_nationkey JOIN {region} r ON n.n_regionkey = r.r_regionkey GROUP BY r.r_name, n.n_name", "lineitem orders customer nation region")
-sql_view("view_top_k", "SELECT o_orderkey, o_totalprice FROM {orders} ORDER BY o_totalprice DESC, o_orderkey LIMIT 20", "orders")
-sql_view("view_full_outer", "SELECT c.c_nationkey AS a, s.s_nationkey AS b, c.n AS nc, s.n AS ns FROM (SELECT c_nationkey, count(*) AS n FROM {customer} WHERE c_acctbal > 9500 GROUP BY 1) c FULL OUTER JOIN (SELECT s_nationkey, count(*) AS n FROM {supplier} GROUP BY 1) s ON c.c_nationkey = s.s_nationkey", "customer supplier")
-sql_view("view_like_ilike", "SELECT p_partkey FROM {part} WHERE p_name LIKE '%a%' AND p_type ILIKE '%steel%'", "part")
-sql_view("view_distinct_from", "SELECT count(*) AS n FROM {orders} a JOIN {orders} b ON a.o_orderkey = b.o_orderkey WHERE a.o_orderstatus IS NOT DISTINCT FROM b.o_orderstatus", "orders")
-
-
-@query("SELECT date_trunc('month', o_orderdate)::VARCHAR AS month, count(*) AS n FROM orders GROUP BY 1")
-def materialized_monthly_orders(t, spark):
-    return t("orders").groupBy(F.date_format(F.date_trunc("month", "o_orderdate"), "yyyy-MM-dd HH:mm:ss").alias("month")).agg(F.count("*").alias("n"))
+sql_view("view_filter_agg", "SELECT o_orderpriority, count(*) AS n, count(*) FILTER (WHERE o_orderstatus = 'F') AS n_f, count(DISTINCT o_custkey) AS n_cust FROM orders GROUP BY o_orderpriority", "orders")
+sql_view("view_cte_left_join", "WITH big AS (SELECT o_custkey, count(*) AS n FROM orders WHERE o_totalprice > 200000 GROUP BY o_custkey) SELECT c.c_custkey, c.c_name, coalesce(b.n, 0) AS n FROM customer c LEFT JOIN big b ON b.o_custkey = c.c_custkey", "orders customer")
+sql_view("view_window_frame", "SELECT l_orderkey, l_linenumber, sum(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS moving_qty FROM lineitem", "lineitem")
+sql_view("view_ranked", "SELECT p_partkey, p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS rn, rank() OVER (PARTITION BY p_brand ORDER BY p_size) AS rk, dense_rank() OVER (PARTITION BY p_brand ORDER BY p_size) AS dr FROM part", "part")
+sql_view("view_qualify_top", "SELECT * FROM (SELECT c_nationkey, c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS rn FROM customer) x WHERE rn <= 3", "customer")
+sql_view("view_lag_lead", "SELECT event_id, lag(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before, lead(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS after FROM events", "events")
+sql_view("view_union_all", "SELECT s_name AS name, 'supplier' AS kind FROM supplier UNION ALL SELECT c_name, 'customer' FROM customer", "supplier customer")
+sql_view("view_set_operations", "SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier EXCEPT SELECT n_nationkey FROM nation WHERE n_regionkey = 2", "customer supplier nation", "SELECT k FROM (SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier) EXCEPT SELECT n_nationkey FROM nation WHERE n_regionkey = 2")
+sql_view("view_exists", "SELECT c_custkey FROM customer c WHERE EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_orderstatus = 'P')", "customer orders")
+sql_view("view_not_exists", "SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_orderstatus = 'F')", "customer orders")
+sql_view("view_in_subquery", "SELECT p_partkey FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 49)", "part lineitem")
+sql_view("view_scalar_subquery", "SELECT o_orderkey FROM orders WHERE o_totalprice > (SELECT max(o_totalprice) * 0.9 FROM orders)", "orders")
+sql_view("view_correlated_distinct", "SELECT n.n_name, (SELECT count(DISTINCT c.c_mktsegment) FROM customer c WHERE c.c_nationkey = n.n_nationkey) AS segments FROM nation n", "nation customer")
+sql_view("view_grouping_sets", "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY GROUPING SETS ((o_orderstatus), (o_orderpriority), ())", "orders")
+sql_view("view_rollup", "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)", "lineitem", )
+sql_view("view_cube", "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)", "lineitem")
+sql_view("view_having", "SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey HAVING count(*) >= 15", "orders")
+sql_view("view_case_concat_cast", "SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 'debt' WHEN c_acctbal BETWEEN 0 AND 1000 THEN 'low' ELSE 'ok' END AS band, c_name || '-' || CAST(c_nationkey AS VARCHAR(10)) AS tag FROM customer", "customer")
+sql_view("view_lateral", "SELECT n.n_name, x.n FROM nation n, LATERAL (SELECT count(*) AS n FROM supplier s WHERE s.s_nationkey = n.n_nationkey) x", "nation supplier")
+sql_view("view_five_way_join", "SELECT r.r_name, n.n_name, round(sum(l.l_extendedprice * (1 - l.l_discount)), 2) AS revenue FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey JOIN region r ON n.n_regionkey = r.r_regionkey GROUP BY r.r_name, n.n_name", "lineitem orders customer nation region")
+sql_view("view_top_k", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20", "orders")
+sql_view("view_full_outer", "SELECT c.c_nationkey AS a, s.s_nationkey AS b, c.n AS nc, s.n AS ns FROM (SELECT c_nationkey, count(*) AS n FROM customer WHERE c_acctbal > 9500 GROUP BY 1) c FULL OUTER JOIN (SELECT s_nationkey, count(*) AS n FROM supplier GROUP BY 1) s ON c.c_nationkey = s.s_nationkey", "customer supplier")
+sql_view("view_like_ilike", "SELECT p_partkey FROM part WHERE p_name ~~ '%a%' AND p_type ~~* '%e%' AND p_brand !~~ '%1'", "part", "SELECT p_partkey FROM part WHERE p_name LIKE '%a%' AND p_type ILIKE '%e%' AND p_brand NOT LIKE '%1'")
+sql_view("view_distinct_from", "SELECT count(*) AS n FROM orders a JOIN orders b ON a.o_orderkey = b.o_orderkey WHERE a.o_orderstatus IS NOT DISTINCT FROM b.o_orderstatus", "orders")
+
+
+def materialized_monthly_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A materialized view: declared, planned, written to the shared folder and read back."""
+    from sparkpact.functions.routines import refresh_materialized
+    from sparkpact.operators.pinned import fresh_folder
+
+    ddl = "CREATE MATERIALIZED VIEW monthly AS SELECT to_char(date_trunc('month', o_orderdate), 'YYYY-MM-DD') AS month, count(*) AS n FROM orders GROUP BY 1;"
+    return refresh_materialized(declared_views(spark, sf_dir, ddl, "orders")["public.monthly"], fresh_folder(spark, "monthly"))
+
+
+QUERIES["materialized_monthly_orders"] = materialized_monthly_orders
+ORACLE_SQL["materialized_monthly_orders"] = "SELECT strftime(date_trunc('month', o_orderdate), '%Y-%m-%d') AS month, count(*) AS n FROM orders GROUP BY 1"
 
 
 @query("""WITH RECURSIVE refs(a, b) AS (VALUES ('v1','t1'),('v2','v1'),('v3','v2'),('v4','t2'),('v5','v4'),('v5','v1')),
@@ -471,3 +580,14 @@ def plan_order(t, spark):
     target = parse_ddl("CREATE VIEW v AS SELECT c.id FROM child c JOIN parent p ON p.id = c.id; CREATE TABLE parent (id int PRIMARY KEY); CREATE TABLE child (id int REFERENCES parent (id));")
     ops = [o for o in migration(spark, Catalog(), target)["ops"] if o["kind"] in ("table", "view", "foreign_key")]
     return spark.createDataFrame([(k + 1, o["op"], o["kind"], o["key"]) for k, o in enumerate(ops)], "step int, op string, kind string, key string")
+
+
+def _more() -> None:
+    from sparkpact import live_queries
+
+    for module in (live_queries,):
+        QUERIES.update(module.QUERIES)
+        ORACLE_SQL.update(module.ORACLE_SQL)
+
+
+_more()

@@ -44,18 +44,18 @@ KINDS = {
         Kind("aggregate", 7, "recreate", ("sfunc", "stype", "finalfunc", "initcond", "parallel")),
         Kind("table", 8, "alter", ("partition_by", "rls", "force_rls")),
         Kind("partition", 9, "recreate", ("parent", "bound")),
-        Kind("column", 10, "alter", ("data_type", "nullable"), ("default", "generated")),
+        Kind("column", 10, "alter", ("data_type", "nullable", "identity"), ("default", "generated")),
         Kind("primary_key", 11, "recreate", ("columns",)),
         Kind("index", 12, "recreate", ("unique", "method", "is_constraint"), ("columns", "predicate")),
-        Kind("foreign_key", 13, "recreate", ("columns", "ref_table", "ref_columns", "on_delete", "on_update")),
+        Kind("foreign_key", 13, "recreate", ("columns", "ref_table", "ref_columns", "on_delete", "on_update", "deferrable", "initially_deferred")),
         Kind("check", 14, "recreate", (), ("expression",)),
         Kind("exclusion", 15, "recreate", ("method", "deferrable", "initially_deferred"), ("elements", "where")),
         Kind("view", 16, "alter", ("materialized",), ("query",)),
         Kind("trigger", 17, "recreate", ("timing", "events", "update_columns", "for_each_row", "function", "args", "old_table", "new_table", "constraint", "deferrable", "initially_deferred", "enabled"), ("when",)),
         Kind("policy", 18, "alter", ("roles", "command"), ("using", "check")),
         Kind("owner", 19, "alter", ("owner",)),
-        Kind("grant", 20, "alter", ("privileges", "with_grant_option")),
-        Kind("default_privilege", 21, "alter", ("privileges", "with_grant_option")),
+        Kind("grant", 20, "alter", ("privileges", "grantable")),
+        Kind("default_privilege", 21, "alter", ("privileges", "grantable")),
         Kind("comment", 22, "alter", ("comment",)),
     )
 }
@@ -65,7 +65,7 @@ TABLE_PARTS = ("column", "primary_key", "index", "foreign_key", "check", "exclus
 
 
 #: Attributes that are text as they stand; all others are JSON where they are not plain words.
-TEXT = frozenset("data_type default generated expression predicate where query body using check when comment owner on grantee role in_schema object_type constraint_name sfunc finalfunc stype initcond function method command timing enabled language volatility security return_type ref_table on_delete on_update fdw type version schema owned_by collation identity parent old_table new_table parallel".split())
+TEXT = frozenset("data_type default generated expression predicate where query body using check when comment owner on grantee role in_schema object_type constraint_name sfunc finalfunc stype initcond function method command timing enabled language volatility security return_type ref_table on_delete on_update fdw type version schema owned_by collation identity parent old_table new_table parallel partkey arguments definition".split())
 
 
 def parsed(attrs: dict[str, str] | None) -> dict:

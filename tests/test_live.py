@@ -5,73 +5,36 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from sparkpact import live_queries as L
 from sparkpact.__main__ import main
 from sparkpact.operators import contracts as C
 from sparkpact.operators.apply import ContractViolation, apply_migration, validate
 from sparkpact.operators.diff import diff
-from sparkpact.plans.lifecycle import migration
+from sparkpact.plans.lifecycle import LintError, migration
 from sparkpact.plans.versions import drop_version_sql, version_sql
 from sparkpact.sources.catalog import from_dataframes
 from sparkpact.sources.ddl import parse_ddl
-from sparkpact.sources.introspect import introspect, to_catalog, unsupported_objects
+from sparkpact.sources.introspect import introspect, to_catalog
 from sparkpact.streaming.contracts import stream_check_violations, stream_unique
 
 
-def sources(spark):
-    make = spark.createDataFrame
-    return {
-        "namespaces": make([(1, "public", None, "o"), (2, "pg_catalog", None, "o")], "oid long, nspname string, acl array<string>, owner string"),
-        "classes": make(
-            [(10, "users", 1, "r", True, False, False, None, None, None, ["o=arwdDxt/o", "app=r*a/o", "=r/o"], "o"), (11, "posts", 1, "r", False, False, False, None, None, None, None, "o"), (12, "v", 1, "v", False, False, False, None, None, " SELECT users.id FROM users;", None, "o"), (13, "users_mail_key", 1, "i", False, False, False, None, None, None, None, "o"), (14, "ext_table", 1, "r", False, False, False, None, None, None, None, "o"), (15, "s", 1, "S", False, False, False, None, None, None, None, "o"), (16, "pair", 1, "c", False, False, False, None, None, None, None, "o"), (90, "pg_x", 2, "r", False, False, False, None, None, None, None, "o")],
-            "oid long, relname string, relnamespace long, relkind string, relrowsecurity boolean, relforcerowsecurity boolean, relispartition boolean, bound string, partkey string, viewdef string, acl array<string>, owner string",
-        ),
-        "attributes": make([(10, "id", 1, True, "", "bigint", None), (10, "mail", 2, False, "", "character varying(40)", "'x'::text"), (10, "low", 3, False, "s", "text", "lower(mail)"), (11, "user_id", 1, True, "", "bigint", None)], "attrelid long, attname string, attnum int, attnotnull boolean, attgenerated string, type string, expr string"),
-        "indexes": make([(13, 10, True, False, "btree", None, ["mail"])], "indexrelid long, indrelid long, indisunique boolean, indisprimary boolean, amname string, predicate string, columns array<string>"),
-        "constraints": make(
-            [(20, "users_pkey", 10, 0, "p", [1], 0, None, "a", "a", 0, None), (21, "users_mail_key", 10, 0, "u", [2], 0, None, "a", "a", 13, None), (22, "posts_user_id_fkey", 11, 0, "f", [1], 10, [1], "a", "c", 0, None), (23, "pos", 10, 0, "c", [1], 0, None, "a", "a", 0, "(id > 0)"), (24, "mail_check", 0, 31, "c", None, 0, None, "a", "a", 0, "(VALUE ~ '@'::text)")],
-            "oid long, conname string, conrelid long, contypid long, contype string, conkey array<int>, confrelid long, confkey array<int>, confupdtype string, confdeltype string, conindid long, expr string",
-        ),
-        "types": make([(30, "state", 1, "e", None, False, None, "o"), (31, "email", 1, "d", "text", True, None, "o")], "oid long, typname string, typnamespace long, typtype string, basetype string, typnotnull boolean, typdefault string, owner string"),
-        "enum_labels": make([(30, 2.0, "done"), (30, 1.0, "open")], "enumtypid long, enumsortorder double, enumlabel string"),
-        "inherits": make([], "inhrelid long, inhparent long"),
-        "policies": make([("own", 10, "r", [], "(id = 1)", None)], "polname string, polrelid long, polcmd string, roles array<string>, using_expr string, check_expr string"),
-        "triggers": make([("t", 10, 1 | 2 | 16, "O", "public.touch")], "tgname string, tgrelid long, tgtype int, tgenabled string, function string"),
-        "procedures": make([(40, "touch", 1, "f", "", "trigger", "plpgsql", "BEGIN RETURN NEW; END", "v", False, "o")], "oid long, proname string, pronamespace long, prokind string, args string, result string, lanname string, prosrc string, provolatile string, prosecdef boolean, owner string"),
-        "sequences": make([(15, "bigint", 1, 1, 1, 9223372036854775807, False, 1)], "seqrelid long, type string, seqstart long, seqincrement long, seqmin long, seqmax long, seqcycle boolean, seqcache long"),
-        "sequence_owners": make([(15, 10, 1)], "seqrelid long, relid long, attnum int"),
-        "extensions": make([(50, "pgcrypto", "1.3", "public")], "oid long, extname string, extversion string, nspname string"),
-        "owned_by_extensions": make([(14,)], "objid long"),
-        "comments": make([(10, 0, "people"), (10, 2, "address")], "objoid long, objsubid int, description string"),
-    }
-
-
-DECLARED = """
-CREATE EXTENSION pgcrypto WITH SCHEMA public VERSION '1.3';
-CREATE TYPE state AS ENUM ('open', 'done');
-CREATE DOMAIN email AS text NOT NULL CONSTRAINT mail_check CHECK (VALUE ~ '@');
-CREATE TABLE users (id bigint PRIMARY KEY, mail varchar(40) DEFAULT 'x' UNIQUE, low text GENERATED ALWAYS AS (lower(mail)) STORED, CONSTRAINT pos CHECK (id > 0));
-CREATE TABLE posts (user_id bigint NOT NULL REFERENCES users (id) ON DELETE CASCADE);
-CREATE VIEW v AS SELECT users.id FROM users;
-CREATE SEQUENCE s OWNED BY users.id;
-CREATE FUNCTION touch() RETURNS trigger LANGUAGE plpgsql AS $$BEGIN RETURN NEW; END$$;
-CREATE TRIGGER t BEFORE UPDATE ON users FOR EACH ROW EXECUTE FUNCTION touch();
-CREATE POLICY own ON users FOR SELECT USING (id = 1);
-GRANT SELECT, INSERT ON users TO app; GRANT SELECT ON users TO public;
-COMMENT ON TABLE users IS 'people'; COMMENT ON COLUMN users.mail IS 'address';
-"""
-
-
 def test_introspection_meets_the_declaration(spark):
-    live = to_catalog(introspect(spark, sources(spark), ["public"]))
+    live = to_catalog(introspect(spark, L.frames(spark), L.SCHEMAS))
     assert live.get("table", "public.ext_table") is None and live.get("table", "pg_catalog.pg_x") is None
-    assert live.get("enum", "public.state").attrs["values"] == ["open", "done"]
-    assert live.get("foreign_key", "public.posts.posts_user_id_fkey").attrs == {"columns": ["user_id"], "ref_table": "public.users", "ref_columns": ["id"], "on_delete": "CASCADE", "on_update": "NO ACTION"}
-    assert live.get("grant", "table public.users to app").attrs["with_grant_option"] is True
-    assert live.get("trigger", "public.users.t").attrs["events"] == ["UPDATE"]
-    left = diff(spark, live, parse_ddl(DECLARED), manage_ownership=False).where("kind not in ('schema')").collect()
-    # the declaration says nothing of the grant option and of what the sources do not tell
-    assert {(r["kind"], tuple(r["changed"])) for r in left if r["kind"] not in ("function", "trigger")} == {("grant", ("with_grant_option",))}
-    assert [tuple(r) for r in unsupported_objects(sources(spark)).collect()] == [("composite type", "pair")]
+    assert live.get("grant", "table public.users to app").attrs["grantable"] == ["SELECT"]
+    assert live.get("partition", "public.events_2024").attrs["bound"] == {"kind": "range", "from": ["'2024-01-01'"], "to": ["'2025-01-01'"]}
+    assert live.get("function", "public.add(integer, text)").attrs["args"][1]["name"] == "b"
+    declared = parse_ddl(L.DECLARED)
+    assert diff(spark, live, declared).collect() == []
+    # and the other way round, with what nobody declares an owner of left out
+    assert {(r["op"], r["kind"]) for r in diff(spark, declared, live, manage_ownership=False).collect()} == set()
+
+
+def test_a_changed_partition_is_seen_by_the_rules(spark):
+    live = to_catalog(introspect(spark, L.frames(spark), L.SCHEMAS))
+    other = parse_ddl(L.DECLARED.replace("'2025-01-01'", "'2026-01-01'"))
+    with pytest.raises(LintError, match="deny_drop_partition"):
+        migration(spark, live, other)
 
 
 def test_migration_over_data(spark):
