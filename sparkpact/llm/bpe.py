@@ -73,6 +73,8 @@ class TrieBpe:
         self.made_of = {self.ids[a + b]: (self.ids[a], self.ids[b], k) for k, (a, b) in reversed([*enumerate(pairs)])}
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens") or []}
         self.text_of |= {i: t for t, i in self.special.items()}
+        #: What every added token begins with one of: looked for before the slower pattern.
+        self.special_starts = sorted({t[:2] for t in self.special})
         self.special_pattern = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.id_text = {i: str(i) for i in self.text_of}
         self.letters = byte_letters()
@@ -233,7 +235,7 @@ class TrieBpe:
         for text in texts:
             parts: list = []
             if text:
-                if self.special_pattern and "<|" in text:
+                if self.special_pattern and any(s in text for s in self.special_starts):
                     for k, piece in enumerate(self.special_pattern.split(text)):
                         parts.append((self.special[piece],) if k % 2 else self.chunks(piece))
                 else:
