@@ -1,4 +1,5 @@
-"""python -m sparkpact COMMAND: diff, plan, lint, check, drift, dump, describe over SQL sources."""
+"""python -m sparkpact COMMAND: diff, plan, lint, check, drift, dump, describe, migrate and apply over
+SQL sources (sql:path) and live servers (db:address, postgres://…, postgresql://…)."""
 
 from __future__ import annotations
 
@@ -9,14 +10,15 @@ import sys
 from sparkpact.plans import filters, lifecycle
 from sparkpact.plans.checks import check
 from sparkpact.plans.render import to_json
-from sparkpact.sources.loader import load
+from sparkpact.sources.live import apply_live, live_catalog
+from sparkpact.sources.loader import database_url, load
 
 
 def main(args: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="sparkpact", description=__doc__)
-    parser.add_argument("command", choices=["diff", "plan", "lint", "check", "drift", "dump", "describe", "migrate"])
-    parser.add_argument("--from", dest="old", action="append", default=[], help="current schema: sql:path (repeat)")
-    parser.add_argument("--to", dest="new", action="append", default=[], help="target schema: sql:path (repeat)")
+    parser.add_argument("command", choices=["diff", "plan", "lint", "check", "drift", "dump", "describe", "migrate", "apply"])
+    parser.add_argument("--from", dest="old", action="append", default=[], help="current schema: sql:path or db:address (repeat)")
+    parser.add_argument("--to", dest="new", action="append", default=[], help="target schema: sql:path or db:address (repeat)")
     parser.add_argument("--json", action="store_true")
     parser.add_argument("--reverse", action="store_true")
     parser.add_argument("--zero-downtime", action="store_true")
@@ -26,6 +28,7 @@ def main(args: list[str] | None = None) -> int:
     parser.add_argument("--schema", action="append")
     parser.add_argument("--output", help="migrate: folder of numbered files; dump: folder of a split dump")
     parser.add_argument("--name", default="migration")
+    parser.add_argument("--dry-run", action="store_true", help="apply: only say what would run")
     a = parser.parse_args(args)
 
     from pyspark.sql import SparkSession
@@ -33,7 +36,18 @@ def main(args: list[str] | None = None) -> int:
     from sparkpact.sources.catalog import Catalog
 
     spark = SparkSession.builder.appName("sparkpact").config("spark.ui.enabled", "false").getOrCreate()
-    side = lambda s: filters.filtered(load(s), a.include, a.exclude, target_schemas=a.schema) if s else Catalog()
+
+    def side(sources: list[str]) -> Catalog:
+        files, servers = [s for s in sources if not database_url(s)], [s for s in sources if database_url(s)]
+        parts = [(s, live_catalog(spark, s, a.schema or ["public"])) for s in servers] + ([("files", load(files))] if files else [])
+        return filters.filtered(Catalog.merged(parts), a.include, a.exclude, target_schemas=a.schema) if parts else Catalog()
+
+    if a.command == "apply":
+        if len(a.old) != 1 or not database_url(a.old[0]):
+            parser.error("apply takes one live server as --from")
+        out = apply_live(spark, a.old[0], side(a.new), a.schema or ["public"], a.allow_destructive, a.dry_run)
+        print(json.dumps(out, indent=2) if a.json else "\n".join([*out["sql"], f"{out['applied']} statements run, {len(out['left'])} operations left"]))
+        return int(bool(out["left"]) and not a.dry_run)
     old, new = side(a.old), side(a.new)
     if a.command in ("diff", "plan", "lint", "migrate"):
         out = lifecycle.migration(spark, old, new, a.reverse, a.zero_downtime, a.allow_destructive, check=a.command in ("plan", "migrate"))

@@ -13,7 +13,7 @@ from collections.abc import Callable
 # Built-in function names that mean the same in Spark.
 SAME = frozenset(
     "count sum avg min max array_agg bool_and bool_or every bit_and bit_or corr stddev variance percentile_cont percentile_disc mode grouping row_number rank dense_rank percent_rank cume_dist ntile lag lead first_value last_value nth_value now current_timestamp current_date extract date_trunc make_date abs ceil ceiling floor round mod power sqrt cbrt exp ln log10 sign pi degrees radians sin cos tan asin acos atan atan2 "
-    "length char_length character_length bit_length octet_length lower upper initcap concat_ws substring substr overlay position btrim trim lpad rpad repeat reverse replace translate split_part ascii chr md5 coalesce nullif greatest least cast array_prepend array_append array_remove cardinality current_database current_schema current_user session_user user version exists".split()
+    "length char_length character_length bit_length octet_length lower upper initcap concat_ws substring substr overlay position btrim trim lpad rpad repeat reverse replace translate split_part ascii chr md5 coalesce nullif greatest least cast array_append array_remove cardinality current_database current_schema current_user session_user user version exists".split()
 )
 JSON = "map('ignoreNullFields', 'false')"
 #: Where a pattern is found first, and what it finds.
@@ -26,7 +26,7 @@ MAPPED: dict[str, str | dict[int, str]] = {
     "transaction_timestamp": "current_timestamp()", "make_timestamptz": "make_timestamp_ltz({*})", "make_timestamp": "make_timestamp_ntz({*})", "make_interval": "make_interval({*})", "concat": "concat_ws('', {*})", "strpos": "instr({0}, {1})", "ltrim": {1: "ltrim({0})", 2: "trim(LEADING {1} FROM {0})"}, "rtrim": {1: "rtrim({0})", 2: "trim(TRAILING {1} FROM {0})"},
     "regexp_split_to_array": "split({0}, {1})", "regexp_split_to_table": "explode(split({0}, {1}))", "left": "if({1} >= 0, left({0}, {1}), left({0}, greatest(0, length({0}) + {1})))", "right": "if({1} >= 0, right({0}, {1}), right({0}, greatest(0, length({0}) + {1})))",
     "to_hex": "lower(hex({0}))", "quote_literal": r"concat('\'', replace({0}, '\'', '\'\''), '\'')", "quote_ident": "if({0} RLIKE '^[a-z_][a-z0-9_]*$', {0}, concat('\"', replace({0}, '\"', '\"\"'), '\"'))", "quote_nullable": r"coalesce(concat('\'', replace({0}, '\'', '\'\''), '\''), 'NULL')",
-    "num_nulls": "size(filter(array({*}), x -> x IS NULL))", "num_nonnulls": "size(filter(array({*}), x -> x IS NOT NULL))", "array_length": "nullif(size({0}), 0)", "array_upper": "nullif(size({0}), 0)", "array_lower": "if(size({0}) > 0, 1, NULL)", "array_cat": "concat({0}, {1})", "array_to_string": {2: "array_join({0}, {1})", 3: "array_join({0}, {1}, {2})"},
+    "array_prepend": "array_prepend({1}, {0})", "array_length": "nullif(size({0}), 0)", "array_upper": "nullif(size({0}), 0)", "array_lower": "if(size({0}) > 0, 1, NULL)", "array_cat": "concat({0}, {1})", "array_to_string": {2: "array_join({0}, {1})", 3: "array_join({0}, {1}, {2})"},
     "string_to_array": "split({0}, concat('\\\\Q', {1}, '\\\\E'))", "unnest": "explode({0})", "array_position": "nullif(array_position({0}, {1}), 0)", "array_replace": "transform({0}, x -> if(x <=> {1}, {2}, x))", "array_positions": "filter(sequence(1, size({0})), i -> element_at({0}, i) <=> {1})", "array_ndims": "if(size({0}) > 0, 1, NULL)", "array_fill": "array_repeat({0}, {1}[0])",
     "json_agg": "to_json(collect_list({0}))", "jsonb_agg": "to_json(collect_list({0}))", "to_json": "to_json({0})", "to_jsonb": "to_json({0})", "row_to_json": "to_json({0})", "array_to_json": "to_json({0})", "json_array_length": "json_array_length({0})", "jsonb_array_length": "json_array_length({0})", "json_object_keys": "explode(json_object_keys({0}))", "jsonb_object_keys": "explode(json_object_keys({0}))",
     "json_array_elements": f"explode({LIST})", "jsonb_array_elements": f"explode({LIST})", "json_array_elements_text": f"explode({LIST})", "jsonb_array_elements_text": f"explode({LIST})", "json_extract_path_text": "get_json_object({0}, concat_ws('.', '$', {1+}))", "jsonb_extract_path_text": "get_json_object({0}, concat_ws('.', '$', {1+}))", "json_extract_path": "get_json_object({0}, concat_ws('.', '$', {1+}))", "jsonb_extract_path": "get_json_object({0}, concat_ws('.', '$', {1+}))",
@@ -125,8 +125,13 @@ def sprintf(args: list[str]) -> str:
     return f"concat({', '.join(out)})" if out else "''"
 
 
+def counted(test: str) -> Callable[[list[str]], str]:
+    """How many arguments, of any types, pass a test."""
+    return lambda args: "(" + " + ".join(f"CAST(({a}) {test} AS INT)" for a in args) + ")" if args else "0"
+
+
 RULES: dict[str, Callable[[list[str]], str]] = {
-    "regexp_replace": regexp_replace, "regexp_match": regexp_match, "json_build_object": json_object, "jsonb_build_object": json_object, "json_build_array": json_list, "jsonb_build_array": json_list, "encode": binary("encode"), "decode": binary("decode"), "format": sprintf,
+    "regexp_replace": regexp_replace, "regexp_match": regexp_match, "json_build_object": json_object, "jsonb_build_object": json_object, "json_build_array": json_list, "jsonb_build_array": json_list, "encode": binary("encode"), "decode": binary("decode"), "format": sprintf, "num_nulls": counted("IS NULL"), "num_nonnulls": counted("IS NOT NULL"),
     "to_char": lambda a: f"date_format({a[0]}, {date_pattern(a[1])})", "to_date": lambda a: f"to_date({a[0]}, {date_pattern(a[1])})", "to_number": lambda a: f"to_number({a[0]}, {quoted(text_of(a[1]).replace('G', ',').replace('D', '.'))})",
 }
 TWO_ARGUMENTS = {"to_timestamp": lambda a: f"to_timestamp({a[0]}, {date_pattern(a[1])})"}

@@ -38,7 +38,7 @@ def run_query(spark: SparkSession, query: str, tables: dict[str, DataFrame]) ->
     """A server query over tables by key. Each relation it names becomes a common table of its own
     name, so that it may stand wherever a relation may, with or without an alias."""
     found = {t: t.removeprefix("public.").replace(".", "__") for t in sorted(relation_references(query)) if t in tables}
-    text = to_spark(query, found.get)
+    text = to_spark(query, found.get).replace("{", "{{").replace("}", "}}")  # braces name frames
     shared = ", ".join(f"`{name}` AS (SELECT * FROM {{r{k}}})" for k, name in enumerate(found.values()))
     if shared:
         head, rest = ("WITH RECURSIVE", text[15:]) if text[:15].lower() == "with recursive " else ("WITH", text[5:]) if text[:5].lower() == "with " else ("WITH", "")

@@ -20,7 +20,7 @@ from sparkpact.sources.catalog import KINDS, Catalog, Obj, parsed
 OP_SCHEMA = "op string, kind string, key string, schema string, parent string, name string, changed array<string>, old map<string,string>, new map<string,string>"
 
 
-def compared(o: Obj) -> dict[str, str]:
+def compared(o: Obj, compat: bool = False) -> dict[str, str]:
     """The attributes that count for equality, in canonical form."""
     spec, text = KINDS[o.kind], o.text_attrs()
     out = {a: text[a] for a in spec.compare if a in text}
@@ -34,15 +34,15 @@ def compared(o: Obj) -> dict[str, str]:
             if o.kind == "function":
                 out[a] = " ".join(text[a].split())
             elif isinstance(o.attrs[a], list):
-                out[a] = json.dumps([canonical(x) if isinstance(x, str) else {k: canonical(v) for k, v in sorted(x.items())} for x in o.attrs[a]])
+                out[a] = json.dumps([canonical(x, compat) if isinstance(x, str) else {k: canonical(v, compat) for k, v in sorted(x.items())} for x in o.attrs[a]])
             else:
-                out[a] = json.dumps(canonical(text[a]))
+                out[a] = json.dumps(canonical(text[a], compat))
     return out
 
 
-def relation(spark: SparkSession, catalog: Catalog) -> DataFrame:
+def relation(spark: SparkSession, catalog: Catalog, compat: bool = False) -> DataFrame:
     """(kind, key, schema, parent, name, attrs, compared)."""
-    rows = [(o.kind, o.key, o.schema, o.parent, o.name, o.text_attrs(), compared(o)) for o in catalog.objects.values()]
+    rows = [(o.kind, o.key, o.schema, o.parent, o.name, o.text_attrs(), compared(o, compat)) for o in catalog.objects.values()]
     return spark.createDataFrame(rows, "kind string, key string, schema string, parent string, name string, attrs map<string,string>, compared map<string,string>")
 
 
@@ -92,7 +92,7 @@ def diff(spark: SparkSession, current: Catalog, target: Catalog, manage_ownershi
     compat: compare only what COMPAT_FIELDS says, and of enums only values that were added.
     """
     skip = (() if manage_ownership else ("owner",)) + (() if manage_grants else ("grant", "default_privilege"))
-    ops = diff_relations(relation(spark, current), relation(spark, target), spec_relation(spark, compat)).where(~F.col("kind").isin(*skip, ""))
+    ops = diff_relations(relation(spark, current, compat), relation(spark, target, compat), spec_relation(spark, compat)).where(~F.col("kind").isin(*skip, ""))
     if compat:
         values = lambda side: F.from_json(F.col(side)["values"], "array<string>")
         ops = ops.where(~((F.col("kind") == "enum") & (F.col("op") == "alter")) | (F.size(F.array_except(values("new"), values("old"))) > 0))

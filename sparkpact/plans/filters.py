@@ -91,7 +91,7 @@ def filtered(catalog: Catalog, include: Iterable[str] = (), exclude: Iterable[st
         if not managed_partitions and o.kind == "partition" and (("table", o.attrs["parent"]) in catalog.objects) and named(o.attrs["parent"], o.attrs["parent"].split(".")[-1], include, exclude):
             continue
         out.objects[at] = o
-    held = {f"{k} {key}" for k, key in out.objects} | {f"type {key}" for k, key in out.objects if k in ("enum", "domain")}
+    held = {f"{k} {key}" for k, key in out.objects} | {f"type {key}" for k, key in out.objects if k in ("enum", "domain")} | {f"table {key}" for k, key in out.objects if k in ("view", "partition")}
     for at, o in catalog.objects.items():
         if o.kind in ("owner", "grant", "comment") and o.kind in kinds and (o.attrs["on"] in held or o.attrs["on"].startswith("constraint ") and o.attrs["on"].split(" ")[-1].rpartition(".")[0] in {key for _, key in out.objects}):
             out.objects[at] = o

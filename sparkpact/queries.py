@@ -583,9 +583,9 @@ def plan_order(t, spark):
 
 
 def _more() -> None:
-    from sparkpact import live_queries, schema_queries
+    from sparkpact import dialect_queries, live_queries, schema_queries
 
-    for module in (live_queries, schema_queries):
+    for module in (live_queries, schema_queries, dialect_queries):
         QUERIES.update(module.QUERIES)
         ORACLE_SQL.update(module.ORACLE_SQL)
 

@@ -64,7 +64,7 @@ def load(sources: Iterable[str]) -> Catalog:
         elif kind == "drizzle":
             raise ValueError("export the schema as SQL and give it as sql:")
         else:
-            raise ValueError(f"unknown source {scrubbed(s)}; use sql:path")
+            raise ValueError(f"unknown source {scrubbed(s)}; use sql:path, db:address, postgres:// or postgresql://")
     return load_files(paths)
 
 

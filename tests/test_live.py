@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from sparkpact import live_queries as L
 from sparkpact.__main__ import main
+from sparkpact.functions.tokens import SqlError
+from sparkpact.functions.translate import to_spark
 from sparkpact.operators import contracts as C
 from sparkpact.operators.apply import ContractViolation, apply_migration, validate
 from sparkpact.operators.diff import diff
@@ -15,6 +17,7 @@ from sparkpact.plans.versions import drop_version_sql, version_sql
 from sparkpact.sources.catalog import from_dataframes
 from sparkpact.sources.ddl import parse_ddl
 from sparkpact.sources.introspect import introspect, to_catalog
+from sparkpact.sources.live import execute, jdbc_address
 from sparkpact.streaming.contracts import stream_check_violations, stream_unique
 
 
@@ -103,3 +106,67 @@ def test_command_line(spark, tmp_path, capsys):
     assert main(["check", "--to", b]) == 1 and "fk_references_missing_table" in capsys.readouterr().out
     assert main(["dump", "--to", a, "--output", str(tmp_path / "out")]) == 0 and (tmp_path / "out" / "04_tables.sql").read_text().startswith("CREATE TABLE")
     assert main(["migrate", "--from", a, "--to", b, "--allow-destructive", "--output", str(tmp_path / "m"), "--name", "x"]) == 0
+
+
+def test_addresses_and_secrets():
+    assert jdbc_address("db:postgres://me:p%40ss@h:6432/shop?sslmode=require") == ("jdbc:postgresql://h:6432/shop", {"sslmode": "require", "user": "me", "password": "p@ss"})
+    assert jdbc_address("postgresql://h") == ("jdbc:postgresql://h:5432/postgres", {}) and jdbc_address("jdbc:derby:memory:x")[0] == "jdbc:derby:memory:x"
+    for bad in ("mysql://me:secret@h/x", "postgres://"):
+        with pytest.raises(ValueError) as e:
+            jdbc_address(bad)
+        assert "secret" not in str(e.value)
+
+
+def test_live_server_by_its_system_relations(spark, monkeypatch, capsys, tmp_path):
+    """The command line over a live server, whose system relations are given."""
+    from sparkpact.sources import live
+
+    monkeypatch.setattr(live, "read_sources", lambda spark, url, **options: L.frames(spark))
+    (tmp_path / "a.sql").write_text(L.DECLARED)
+    (tmp_path / "b.sql").write_text(L.DECLARED + "CREATE TABLE extra (a int);")
+    args = ["--from", "postgres://me:secret@h/x", "--schema", "public", "--schema", "audit"]
+    assert main(["drift", *args, "--to", f"sql:{tmp_path}/a.sql"]) == 0
+    capsys.readouterr()
+    ran = []
+    monkeypatch.setattr(live, "execute", lambda spark, address, statements: ran.extend(statements) or len(ran))
+    assert main(["apply", *args, "--to", f"sql:{tmp_path}/b.sql", "--dry-run"]) == 0 and not ran
+    assert main(["apply", *args, "--to", f"sql:{tmp_path}/b.sql", "--json"]) == 1  # the server is as it was: verification says so
+    said = capsys.readouterr().out
+    assert [s.split("(")[0] for s in ran] == ['CREATE TABLE "public"."extra" '] and "create table public.extra" in said and "secret" not in said
+
+
+def test_statements_run_in_one_transaction(spark):
+    """A server in this process stands for one over there."""
+    url = "jdbc:derby:memory:pact;create=true"
+    assert execute(spark, url, ["CREATE TABLE t (a INT);", "-- a note", "INSERT INTO t VALUES (1);"]) == 2
+    with pytest.raises(RuntimeError, match="nowhere"):
+        execute(spark, url, ["INSERT INTO t VALUES (2)", "INSERT INTO nowhere VALUES (3)"])
+    assert [r[0] for r in spark.read.format("jdbc").option("url", url).option("query", "SELECT a FROM t").load().collect()] == [1]
+
+
+def test_exclusion_and_backfill_over_data(spark):
+    from sparkpact.operators.apply import exclusion_violations
+
+    rows = spark.createDataFrame([(1, 1, 0, 10), (2, 1, 9, None), (3, 1, None, -5), (4, 2, 0, 1)], "id int, room int, lo int, hi int").selectExpr("id", "room", "struct(lo AS lower, hi AS upper) AS during")
+    elements = [{"expr": "room", "op": "="}, {"expr": "during", "op": "&&"}]
+    assert exclusion_violations(rows, elements, None).count() == 1 and exclusion_violations(rows, elements, "id > 1").count() == 0
+    old, new = parse_ddl("CREATE TABLE p (id int);"), parse_ddl("CREATE TABLE p (id int, tag text NOT NULL DEFAULT 'x');")
+    ops = migration(spark, old, new, zero_downtime=True)["ops"]
+    out = apply_migration(spark, {"public.p": spark.range(2).selectExpr("cast(id AS int) AS id")}, ops)
+    assert [r["tag"] for r in out["public.p"].collect()] == ["x", "x"]
+
+
+def test_sequences_stop_at_their_limit(spark):
+    df = spark.range(5).withColumnRenamed("id", "k")
+    assert C.assign_sequence(df, ["k"], high=5).count() == 5
+    with pytest.raises(Exception, match="limit 4"):
+        C.assign_sequence(df, ["k"], high=4).collect()
+
+
+def test_what_cannot_be_read_is_refused():
+    for bad in ("CREATE TABLE a (x int) INHERITS (b);", "CREATE TABLE a (LIKE nowhere);"):
+        with pytest.raises(SqlError):
+            parse_ddl(bad)
+    for bad in ("pg_sleep(1)", "x #> 'a'", "to_char(x, fmt)"):
+        with pytest.raises(ValueError):
+            to_spark(bad)
