@@ -403,6 +403,163 @@ def grant_options_by_privilege(t, spark):
     return grant_changes(side(4, 2), side(5, 3), ["object"]).select("object", "grantee", "op", F.array_join("privileges", ",").alias("privileges"))
 
 
+# -- contracts as they are declared ------------------------------------------------------------------
+
+SHOP_DDL = """
+    CREATE TYPE priority AS ENUM ('1-URGENT', '2-HIGH', '3-MEDIUM', '5-LOW');
+    CREATE DOMAIN balance AS numeric(15,2) CONSTRAINT floor CHECK (VALUE > -500);
+    CREATE TABLE customer (c_custkey bigint PRIMARY KEY, c_name text NOT NULL, c_nationkey int, c_acctbal balance, c_mktsegment text, CONSTRAINT segment CHECK (c_mktsegment = ANY (ARRAY['BUILDING', 'MACHINERY']) OR c_acctbal::numeric > 0));
+    CREATE UNIQUE INDEX one_rich ON customer (c_nationkey) WHERE c_acctbal > 9000;
+    CREATE TABLE orders (o_orderkey bigint PRIMARY KEY, o_custkey bigint REFERENCES customer (c_custkey), o_orderstatus varchar(1), o_totalprice double precision, o_orderdate timestamp, o_orderpriority priority);
+    ALTER TABLE orders ENABLE ROW LEVEL SECURITY;
+    CREATE POLICY own ON orders FOR SELECT TO sales USING (o_custkey % 7 = 3 AND o_orderstatus !~~ 'P%');
+    CREATE POLICY cheap ON orders USING (o_totalprice < 20000::numeric);
+    CREATE TABLE ledger (day timestamp, kind text, amount double precision, fee double precision GENERATED ALWAYS AS (amount * 0.5) STORED, note text DEFAULT 'none') PARTITION BY RANGE (day, kind);
+    CREATE TABLE ledger_old PARTITION OF ledger FOR VALUES FROM (MINVALUE, MINVALUE) TO ('1996-01-01', 'F');
+    CREATE TABLE ledger_mid PARTITION OF ledger FOR VALUES FROM ('1996-01-01', 'F') TO ('1998-01-01', MINVALUE);
+    CREATE TABLE ledger_rest PARTITION OF ledger DEFAULT;
+    CREATE FUNCTION with_tax(price double precision, rate double precision DEFAULT 0.25) RETURNS double precision LANGUAGE sql IMMUTABLE AS 'SELECT price * (1 + rate)';
+    CREATE FUNCTION orders_of(customer bigint) RETURNS TABLE (k bigint, price double precision) LANGUAGE sql AS 'SELECT o_orderkey, o_totalprice FROM shop_orders WHERE o_custkey = customer';
+"""
+
+
+def shop_catalog():
+    from sparkpact.sources.ddl import parse_ddl
+
+    return parse_ddl(SHOP_DDL)
+
+
+@query("""WITH c AS (SELECT * FROM customer WHERE c_custkey % 10 <> 0)
+    SELECT * FROM (SELECT 'public.customer' AS "table", 'domain c_acctbal' AS contract, count(*) AS n FROM c WHERE NOT c_acctbal > -500
+    UNION ALL SELECT 'public.customer', 'unique one_rich', count(*) FROM (SELECT c_nationkey FROM c WHERE c_acctbal > 9000 AND c_nationkey IS NOT NULL GROUP BY 1 HAVING count(*) > 1)
+    UNION ALL SELECT 'public.customer', 'check segment', count(*) FROM c WHERE NOT (c_mktsegment IN ('BUILDING', 'MACHINERY') OR c_acctbal > 0)
+    UNION ALL SELECT 'public.orders', 'foreign key orders_o_custkey_fkey', count(*) FROM orders WHERE o_custkey IS NOT NULL AND o_custkey NOT IN (SELECT c_custkey FROM c)
+    UNION ALL SELECT 'public.orders', 'enum o_orderpriority', count(*) FROM orders WHERE o_orderpriority NOT IN ('1-URGENT', '2-HIGH', '3-MEDIUM', '5-LOW')) WHERE n > 0""")
+def contract_report_shop(t, spark):
+    from sparkpact.operators.declared import contract_report
+
+    return contract_report(spark, shop_catalog(), {"public.customer": t("customer").where("c_custkey % 10 <> 0"), "public.orders": t("orders")})
+
+
+@query("SELECT o_orderkey, role FROM orders, (VALUES ('sales'), ('guest')) v(role) WHERE o_totalprice < 20000 OR role = 'sales' AND o_custkey % 7 = 3 AND o_orderstatus NOT LIKE 'P%'")
+def rls_declared_policies(t, spark):
+    from sparkpact.operators.declared import visible
+
+    seen = [visible(t("orders"), shop_catalog(), "public.orders", "SELECT", role).select("o_orderkey", F.lit(role).alias("role")) for role in ("sales", "guest")]
+    return seen[0].unionByName(seen[1])
+
+
+LEDGER = "(SELECT o_orderdate AS day, o_orderstatus AS kind, o_totalprice AS amount FROM orders UNION ALL SELECT NULL, 'F', 1.0)"
+
+
+@query(f"""SELECT CASE WHEN day IS NULL THEN 'ledger_rest' WHEN day < TIMESTAMP '1996-01-01' OR day = TIMESTAMP '1996-01-01' AND kind < 'F' THEN 'ledger_old' WHEN day < TIMESTAMP '1998-01-01' THEN 'ledger_mid' ELSE 'ledger_rest' END AS p, count(*) AS n FROM {LEDGER} GROUP BY 1""")
+def partition_route_declared(t, spark):
+    from sparkpact.operators.declared import partition_of
+
+    rows = ledger_rows(t)
+    return rows.select(partition_of(shop_catalog(), "public.ledger", rows).alias("p")).groupBy("p").agg(F.count("*").alias("n"))
+
+
+def ledger_rows(t) -> DataFrame:
+    rows = t("orders").select(F.col("o_orderdate").alias("day"), F.col("o_orderstatus").alias("kind"), F.col("o_totalprice").alias("amount"))
+    return rows.unionByName(rows.limit(1).select(F.lit(None).cast("timestamp_ntz").alias("day"), F.lit("F").alias("kind"), F.lit(1.0).alias("amount")))
+
+
+@query(f"SELECT day, kind, amount, amount * 0.5 AS fee, 'none' AS note FROM {LEDGER}")
+def declared_columns_ledger(t, spark):
+    from sparkpact.operators.declared import with_declared_columns
+
+    return with_declared_columns(ledger_rows(t), shop_catalog(), "public.ledger")
+
+
+@query("SELECT o_orderkey, o_totalprice * 1.25 AS a, o_totalprice * 1.5 AS b FROM orders")
+def routine_scalar(t, spark):
+    """A declared SQL function, with and without its default."""
+    from sparkpact.functions.routines import register_functions
+
+    t("orders").createOrReplaceTempView("shop_orders")
+    register_functions(spark, shop_catalog())
+    return t("orders").select("o_orderkey", F.expr("with_tax(o_totalprice)").alias("a"), F.expr("with_tax(o_totalprice, 0.5D)").alias("b"))
+
+
+@query("SELECT c_custkey, o_orderkey AS k, o_totalprice AS price FROM customer JOIN orders ON o_custkey = c_custkey WHERE c_custkey < 30")
+def routine_table(t, spark):
+    """A declared table function, called for each row of another table."""
+    from sparkpact.functions.routines import register_functions
+
+    t("orders").createOrReplaceTempView("shop_orders")
+    register_functions(spark, shop_catalog())
+    return spark.sql("SELECT c.c_custkey, o.k, o.price FROM {c} c, LATERAL orders_of(c.c_custkey) o", c=t("customer").where("c_custkey < 30"))
+
+
+@query("SELECT c_nationkey, sum(power(c_custkey % 4, 2))::BIGINT AS squares FROM customer GROUP BY 1")
+def routine_fold(t, spark):
+    """A user aggregate: a transition function over a group's values."""
+    from sparkpact.functions.routines import fold
+
+    value = (F.col("c_custkey") % 4).cast("long")
+    return fold(t("customer"), ["c_nationkey"], [F.col("c_custkey")], value, F.lit(0).cast("long"), lambda total, x: total + x * x, "squares")
+
+
+@query("""SELECT o_orderkey, o_custkey::INTEGER AS o_custkey, round(o_totalprice)::BIGINT AS cents, 'new' AS tag FROM orders""")
+def apply_column_changes(t, spark):
+    """A type change, a new column with a default and a dropped one, over the data."""
+    from sparkpact.operators.apply import apply_migration
+    from sparkpact.plans.lifecycle import migration
+    from sparkpact.sources.ddl import parse_ddl
+
+    before = parse_ddl("CREATE TABLE orders (o_orderkey bigint, o_custkey bigint, cents double precision, gone text);")
+    after = parse_ddl("CREATE TABLE orders (o_orderkey bigint PRIMARY KEY, o_custkey integer, cents bigint NOT NULL, tag text NOT NULL DEFAULT 'new', CONSTRAINT positive CHECK (cents > 0));")
+    rows = t("orders").select("o_orderkey", "o_custkey", F.round("o_totalprice").alias("cents"), F.col("o_orderstatus").alias("gone"))
+    return apply_migration(spark, {"public.orders": rows}, migration(spark, before, after, allow_destructive=True)["ops"])["public.orders"]
+
+
+# -- contracts on streams ----------------------------------------------------------------------------
+
+
+def streamed(spark: SparkSession, sf_dir: str, table: str, plan: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What a streaming plan gives for a table that comes as a stream, written and read back."""
+    import os
+
+    from sparkpact.operators.pinned import fresh_folder
+
+    schema = spark.read.parquet(f"{sf_dir}/{table}.parquet").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", f"{table}*").parquet(sf_dir) if os.path.isfile(f"{sf_dir}/{table}.parquet") else spark.readStream.schema(schema).parquet(f"{sf_dir}/{table}.parquet")
+    folder = fresh_folder(spark, "stream")
+    out = plan(stream)
+    out.writeStream.format("parquet").option("checkpointLocation", f"{folder}/state").option("path", f"{folder}/rows").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{folder}/rows")
+
+
+def stream_query(name: str, table: str, plan: Callable[[SparkSession, str, DataFrame], DataFrame], sql: str) -> None:
+    QUERIES[name] = lambda spark, sf_dir: streamed(spark, sf_dir, table, lambda s: plan(spark, sf_dir, s))
+    ORACLE_SQL[name] = sql
+
+
+def stream_checks(spark: SparkSession, sf_dir: str, s: DataFrame) -> DataFrame:
+    from sparkpact.streaming.contracts import stream_check_violations
+
+    return stream_check_violations(s, {"small": F.col("value") < 50, "known": F.col("event_type") != "view"}).select("event_id", F.array_join("failed_checks", ",").alias("failed"))
+
+
+def stream_once(spark: SparkSession, sf_dir: str, s: DataFrame) -> DataFrame:
+    from sparkpact.streaming.contracts import stream_unique
+
+    return stream_unique(s.withColumn("at", F.col("ts").cast("timestamp")), ["user_id", "event_type"], "at", "3650 days").select("user_id", "event_type")
+
+
+def stream_missing(spark: SparkSession, sf_dir: str, s: DataFrame) -> DataFrame:
+    from sparkpact.streaming.contracts import stream_orphans
+
+    users = spark.read.parquet(f"{sf_dir}/customer.parquet").where("c_custkey % 3 = 0")
+    return stream_orphans(s, users, ["user_id"], ["c_custkey"]).select("event_id")
+
+
+stream_query("stream_check_violations_events", "events", stream_checks, "SELECT event_id, concat_ws(',', CASE WHEN NOT coalesce(event_type <> 'view', true) THEN 'known' END, CASE WHEN NOT coalesce(value < 50, true) THEN 'small' END) AS failed FROM events WHERE NOT coalesce(event_type <> 'view', true) OR NOT coalesce(value < 50, true)")
+stream_query("stream_unique_events", "events", stream_once, "SELECT DISTINCT user_id, event_type FROM events")
+stream_query("stream_orphans_events", "events", stream_missing, "SELECT event_id FROM events WHERE user_id IS NOT NULL AND user_id NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 3 = 0)")
+
+
 # -- view surface ----------------------------------------------------------------------------------
 
 sql_view("view_filter_agg", "SELECT o_orderpriority, count(*) AS n, count(*) FILTER (WHERE o_orderstatus = 'F') AS n_f, count(DISTINCT o_custkey) AS n_cust FROM orders GROUP BY o_orderpriority", "orders")

@@ -400,6 +400,38 @@ kept("filter_names", lambda c: filters.filtered(c, ["t_1*", "public.t_2*"], ["*_
 kept("filter_target_schemas", lambda c: filters.filtered(c, target_schemas=["a"]), "CREATE TABLE a.t_{k} (x int); CREATE TABLE b.t_{k} (x int);", f"SELECT kind, {cat('a.t_{k}')} || suffix AS key FROM {KEYS}, (VALUES ('table', ''), ('column', '.x')) v(kind, suffix)")
 
 
+PARTS = "CREATE TABLE t_{k} (a int, CONSTRAINT c CHECK (a > 0)); CREATE INDEX i_{k} ON t_{k} (a); CREATE VIEW v_{k} AS SELECT 1; CREATE TYPE e_{k} AS ENUM ('a'); CREATE POLICY p ON t_{k} USING (a > 1); COMMENT ON VIEW v_{k} IS 'x'; COMMENT ON TABLE t_{k} IS 'x'; GRANT SELECT ON v_{k} TO app;"
+kept("filter_types", lambda c: filters.filtered(c, exclude_types=["views", "policies", "enums"]), PARTS, f"SELECT kind, {cat('public.t_{k}')} || suffix AS key FROM {KEYS}, (VALUES ('table', ''), ('column', '.a'), ('check', '.c')) v(kind, suffix) UNION ALL SELECT 'index', {cat('public.t_{k}.i_{k}')} FROM {KEYS} UNION ALL SELECT 'comment', {cat('table public.t_{k}')} FROM {KEYS}")
+kept("filter_comments_follow", lambda c: filters.filtered(c, include=["v_*"]), PARTS, f"SELECT 'view' AS kind, {cat('public.v_{k}')} AS key FROM {KEYS} UNION ALL SELECT 'comment', {cat('view public.v_{k}')} FROM {KEYS} UNION ALL SELECT 'grant', {cat('table public.v_{k} to app')} FROM {KEYS}")
+kept("filter_unmanaged_partitions", lambda c: filters.filtered(c, managed_partitions=False), "CREATE TABLE p_{k} PARTITION OF m DEFAULT; CREATE TABLE q_{k} PARTITION OF elsewhere DEFAULT;", f"SELECT 'partition' AS kind, {cat('public.q_{k}')} AS key FROM {KEYS} UNION ALL SELECT 'table', 'public.m' UNION ALL SELECT 'column', 'public.m.a'", "CREATE TABLE m (a int) PARTITION BY LIST (a);")
+
+
+def plan_modification(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is recreated is dropped first; new objects are made before old tables go."""
+    keys = keys_of(spark, sf_dir)
+    now = parse_ddl("\n".join(fill("CREATE TABLE old_{k} (a int); CREATE TABLE t_{k} (a int, CONSTRAINT c CHECK (a > 1)); CREATE INDEX i_{k} ON t_{k} (a);", k) for k in keys))
+    then = parse_ddl("\n".join(fill("CREATE TABLE new_{k} (a int); CREATE TABLE t_{k} (a int, CONSTRAINT c CHECK (a > 2)); CREATE UNIQUE INDEX i_{k} ON t_{k} (a);", k) for k in keys))
+    ops = lifecycle.migration(spark, now, then, allow_destructive=True)["ops"]
+    at = {(o["op"], o["key"]): n for n, o in enumerate(ops)}
+    pairs = [("check", ("drop", "public.t_{k}.c"), ("create", "public.t_{k}.c")), ("index", ("drop", "public.t_{k}.i_{k}"), ("create", "public.t_{k}.i_{k}")), ("table", ("create", "public.new_{k}"), ("drop", "public.old_{k}"))]
+    return spark.createDataFrame([(k, what, at[a, fill(x, k)] < at[b, fill(y, k)]) for k in keys for what, (a, x), (b, y) in pairs], "k int, what string, in_order boolean")
+
+
+register("plan_modification", plan_modification, f"SELECT k, what, true AS in_order FROM {KEYS}, (VALUES ('check'), ('index'), ('table')) v(what)")
+
+
+def operation_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operations have keys of their own, whatever their kinds share: names, tables, signatures."""
+    from sparkpact.plans.planner import op_key
+
+    text = "CREATE TABLE t_{k} (t_{k} int, CONSTRAINT x_{k} CHECK (t_{k} > 0)); CREATE INDEX x_{k} ON t_{k} (t_{k}); CREATE FUNCTION t_{k}(int) RETURNS int LANGUAGE sql AS 'SELECT 1'; CREATE FUNCTION t_{k}(text) RETURNS int LANGUAGE sql AS 'SELECT 1'; CREATE SEQUENCE s.t_{k}; CREATE TYPE e.t_{k} AS ENUM ('a');"
+    ops = lifecycle.creations(parse_ddl("\n".join(fill(text, k) for k in keys_of(spark, sf_dir))))
+    return spark.createDataFrame([(op_key(o),) for o in ops], "key string")
+
+
+register("operation_keys", operation_keys, "\nUNION ALL ".join(f"SELECT {cat('create ' + key)} AS key FROM {KEYS}" for key in ("table public.t_{k}", "column public.t_{k}.t_{k}", "check public.t_{k}.x_{k}", "index public.t_{k}.x_{k}", "function public.t_{k}(integer)", "function public.t_{k}(text)", "sequence s.t_{k}", "enum e.t_{k}")))
+
+
 def references_of_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Functions and relations that bodies name, without built-ins, common tables and strings."""
     from sparkpact.plans.references import function_references, relation_references, rowtype_references

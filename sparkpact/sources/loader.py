@@ -5,12 +5,13 @@ from __future__ import annotations
 import glob
 import os
 import re
+import subprocess
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from sparkpact.sources.catalog import Catalog, from_dataframes
-from sparkpact.sources.ddl import Reader
+from sparkpact.sources.ddl import Reader, parse_ddl
 
 
 def expand(source: str) -> list[str]:
@@ -55,17 +56,28 @@ def load_files(paths: Iterable[str]) -> Catalog:
 
 
 def load(sources: Iterable[str]) -> Catalog:
-    """Sources of the form sql:path."""
-    paths = []
+    """Sources of the form sql:path, or drizzle:path of an ORM's configuration, which is exported first."""
+    paths, exported = [], []
     for s in sources:
         kind, _, rest = s.partition(":")
         if kind == "sql":
             paths.append(rest)
         elif kind == "drizzle":
-            raise ValueError("export the schema as SQL and give it as sql:")
+            exported.append((s, parse_ddl(export_schema(rest))))
         else:
             raise ValueError(f"unknown source {scrubbed(s)}; use sql:path, db:address, postgres:// or postgresql://")
-    return load_files(paths)
+    return load_files(paths) if not exported else Catalog.merged([*exported, *([("files", load_files(paths))] if paths else [])])
+
+
+def export_schema(config: str) -> str:
+    """The SQL that the ORM's own command line exports for a configuration file; it must be installed."""
+    try:
+        done = subprocess.run(["npx", "drizzle-kit", "export", "--config", config], capture_output=True, text=True, timeout=300, check=True)
+    except FileNotFoundError:
+        raise ValueError("npx is not installed; export the schema as SQL and give it as sql:path") from None
+    except subprocess.CalledProcessError as e:
+        raise ValueError(f"export of {config} failed: {scrubbed(e.stderr.strip()[-500:])}") from None
+    return done.stdout
 
 
 def load_texts(spark: SparkSession, folder: str) -> DataFrame:

@@ -170,3 +170,20 @@ def test_what_cannot_be_read_is_refused():
     for bad in ("pg_sleep(1)", "x #> 'a'", "to_char(x, fmt)"):
         with pytest.raises(ValueError):
             to_spark(bad)
+
+
+def test_exported_schemas(tmp_path, monkeypatch):
+    from sparkpact.sources.loader import load
+
+    tool = tmp_path / "npx"
+    tool.write_text("#!/bin/sh\n[ \"$4\" = good.ts ] && echo 'CREATE TABLE t (a int);' || { echo 'postgres://me:secret@h failed' >&2; exit 1; }\n")
+    tool.chmod(0o755)
+    monkeypatch.setenv("PATH", str(tmp_path), prepend=":")
+    (tmp_path / "a.sql").write_text("CREATE TABLE u (a int);")
+    assert sorted(o.key for o in load(["drizzle:good.ts", f"sql:{tmp_path}/a.sql"]).of("table")) == ["public.t", "public.u"]
+    with pytest.raises(ValueError, match="failed") as e:
+        load(["drizzle:bad.ts"])
+    assert "secret" not in str(e.value)
+    monkeypatch.setenv("PATH", str(tmp_path / "nothing"))
+    with pytest.raises(ValueError, match="not installed"):
+        load(["drizzle:good.ts"])
