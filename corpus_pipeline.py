@@ -71,7 +71,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.read_table(spark, sf_dir, "documents")
+    """The rows of the last stage, as a written table. What the stages write on the way, and each
+    stage's own table once the next is written, is deleted."""
+    docs, before = common.read_table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = common.saved(stage(spark, docs, sf_dir), name)
+        path = common.fresh_path(spark, name)
+        with common.temporary(spark):
+            found = stage(spark, docs, sf_dir)
+            found.write.parquet(path)
+        docs = spark.read.schema(found.schema).parquet(path)
+        if before is not None:
+            common.delete(spark, before)
+        before = path
     return docs

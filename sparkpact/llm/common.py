@@ -11,6 +11,9 @@ import re
 import tempfile
 import uuid
 import zlib
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,8 +44,34 @@ def workspace(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+#: Paths given out since the innermost temporary() began.
+GIVEN: ContextVar[list[str] | None] = ContextVar("GIVEN", default=None)
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{workspace(spark)}/sparkpact/{name}-{uuid.uuid4().hex}"
+    path = f"{workspace(spark)}/sparkpact/{name}-{uuid.uuid4().hex}"
+    given = GIVEN.get()
+    if given is not None:
+        given.append(path)
+    return path
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """What is written to fresh paths meanwhile is deleted at the end."""
+    given: list[str] = []
+    token = GIVEN.set(given)
+    try:
+        yield
+    finally:
+        GIVEN.reset(token)
+        for path in given:
+            delete(spark, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
@@ -58,8 +87,7 @@ def drop_saved(df: DataFrame) -> None:
     spark = session_of(df)
     parents = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
     for parent in parents:
-        path = spark._jvm.org.apache.hadoop.fs.Path(parent)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        delete(spark, parent)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -202,3 +202,16 @@ def test_pipeline_stages_on_odd_rows(spark):
             assert found.columns == docs.columns
         if name != "simhash_near_dedup":
             assert found.count() == len(rows)
+
+
+def test_pipeline_leaves_its_result_only(spark):
+    import glob
+
+    import corpus_pipeline as P
+
+    from sparkpact.llm import common
+
+    folder = common.workspace(spark).removeprefix("file://") + "/sparkpact/*"
+    before = set(glob.glob(folder))
+    rows = P.run(spark, SF).count()
+    assert rows > 0 and [f.rsplit("/", 1)[1].split("-")[0] for f in set(glob.glob(folder)) - before] == ["bpe"]
