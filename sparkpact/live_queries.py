@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkpact.sources.catalog import local_relation
 from sparkpact.sources.introspect import introspect, to_catalog, unsupported_objects
 
 #: Relations of a live schema: columns with their types, and rows.
@@ -120,7 +121,7 @@ COMMENT ON SCHEMA public IS 'standard'; COMMENT ON TRIGGER t ON users IS 'on cha
 
 
 def frames(spark: SparkSession) -> dict[str, DataFrame]:
-    return {name: spark.createDataFrame(rows, schema) for name, (schema, rows) in RELATIONS.items()}
+    return {name: local_relation(spark, rows, schema) for name, (schema, rows) in RELATIONS.items()}
 
 
 def literal(value: object, kind: str) -> str:

@@ -10,12 +10,12 @@ from __future__ import annotations
 import json
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from sparkpact.functions.normalize import canonical, same_body
 from sparkpact.functions.types import canonical_type
-from sparkpact.sources.catalog import KINDS, Catalog, Obj, parsed
+from sparkpact.sources.catalog import KINDS, TABLE_PARTS, Catalog, Obj, local_relation, parsed
 
 OP_SCHEMA = "op string, kind string, key string, schema string, parent string, name string, changed array<string>, old map<string,string>, new map<string,string>"
 
@@ -43,7 +43,7 @@ def compared(o: Obj, compat: bool = False) -> dict[str, str]:
 def relation(spark: SparkSession, catalog: Catalog, compat: bool = False) -> DataFrame:
     """(kind, key, schema, parent, name, attrs, compared)."""
     rows = [(o.kind, o.key, o.schema, o.parent, o.name, o.text_attrs(), compared(o, compat)) for o in catalog.objects.values()]
-    return spark.createDataFrame(rows, "kind string, key string, schema string, parent string, name string, attrs map<string,string>, compared map<string,string>")
+    return local_relation(spark, rows, "kind string, key string, schema string, parent string, name string, attrs map<string,string>, compared map<string,string>")
 
 
 #: What the compatible mode compares of a kind, where that is less: foreign keys by name only, no
@@ -54,7 +54,7 @@ COMPAT_FIELDS = {"foreign_key": (), "extension": (), "partition": (), "table": (
 def spec_relation(spark: SparkSession, compat: bool = False) -> DataFrame:
     fields = lambda k: list(COMPAT_FIELDS[k.name]) if compat and k.name in COMPAT_FIELDS else [*k.compare, *k.expressions]
     rows = [(k.name, k.on_change, k.tier, fields(k), list(k.optional)) for k in KINDS.values()]
-    return spark.createDataFrame(rows, "kind string, on_change string, tier int, fields array<string>, optional array<string>")
+    return local_relation(spark, rows, "kind string, on_change string, tier int, fields array<string>, optional array<string>")
 
 
 def diff_relations(current: DataFrame, target: DataFrame, specs: DataFrame) -> DataFrame:
@@ -86,8 +86,20 @@ def diff_relations(current: DataFrame, target: DataFrame, specs: DataFrame) -> D
     return rows.select(F.explode(ops).alias("op"), "kind", "key", pick("schema"), pick("parent"), pick("name"), "changed", F.col("c_attrs").alias("old"), F.col("t_attrs").alias("new"))
 
 
-def diff(spark: SparkSession, current: Catalog, target: Catalog, manage_ownership: bool = True, manage_grants: bool = True, excluded_roles: Sequence[str] = (), compat: bool = False) -> DataFrame:
-    """Operations from current to target, with what dropped or altered objects force along.
+def diff(spark: SparkSession, current: Catalog, target: Catalog, **flags) -> DataFrame:
+    """Operations from current to target, as a relation; flags as in diff_rows()."""
+    return operations(spark, diff_rows(spark, current, target, **flags))
+
+
+def operations(spark: SparkSession, rows: Iterable[Row]) -> DataFrame:
+    """Operations as a relation, for the joins with rules and locks."""
+    return local_relation(spark, [tuple(r) for r in rows], OP_SCHEMA)
+
+
+def diff_rows(spark: SparkSession, current: Catalog, target: Catalog, manage_ownership: bool = True, manage_grants: bool = True, excluded_roles: Sequence[str] = (), compat: bool = False) -> list[Row]:
+    """Operations from current to target, with what dropped or altered objects force along. The
+    schemas are compared by a join; the operations, which are ordered one by one anyway, come to the
+    driver once.
 
     compat: compare only what COMPAT_FIELDS says, and of enums only values that were added.
     """
@@ -100,18 +112,18 @@ def diff(spark: SparkSession, current: Catalog, target: Catalog, manage_ownershi
         ops = ops.where(~((F.col("kind") == "grant") & F.lower(F.coalesce(F.col("new")["grantee"], F.col("old")["grantee"])).isin([r.lower() for r in excluded_roles])))
     # who owns what nobody declares an owner of is no matter of the declaration
     ops = ops.where("not (kind = 'owner' and op = 'drop')")
+    rows = ops.collect()
     # what a table holds goes with the table
-    gone = ops.where("op = 'drop' and kind in ('table', 'partition')").select(F.col("key").alias("gone"))
-    parts = F.col("kind").isin("column", "primary_key", "index", "foreign_key", "check", "exclusion", "trigger", "policy")
-    kept = ops.where(~((F.col("op") == "drop") & parts)).unionByName(ops.where((F.col("op") == "drop") & parts).join(gone, F.col("parent") == F.col("gone"), "left_anti"))
-    return with_recreations(spark, kept, current, target)
+    gone = {r["key"] for r in rows if r["op"] == "drop" and r["kind"] in ("table", "partition")}
+    kept = [r for r in rows if not (r["op"] == "drop" and r["kind"] in TABLE_PARTS and r["parent"] in gone)]
+    return with_recreations(kept, current, target)
 
 
 def reference_relation(spark: SparkSession, catalog: Catalog) -> DataFrame:
     """(kind, owner, target): what each view, policy, trigger, function, check … refers to."""
     from sparkpact.plans.references import catalog_references
 
-    return spark.createDataFrame(sorted(catalog_references(catalog)), "kind string, owner string, target string")
+    return local_relation(spark, sorted(catalog_references(catalog)), "kind string, owner string, target string")
 
 
 def reaching(pairs: Iterable[tuple[str, str]], roots: Iterable[str]) -> set[str]:
@@ -132,21 +144,20 @@ def dependent_closure(references: DataFrame, roots: Iterable[str]) -> DataFrame:
     """(owner) of those that reach one of the roots through references (owner, target), transitively.
     References are metadata, a row for each name that a declaration holds, and are walked on the driver."""
     pairs = [tuple(r) for r in references.select("owner", "target").distinct().collect()]
-    return references.sparkSession.createDataFrame([(o,) for o in sorted(reaching(pairs, roots))], "owner string")
+    return local_relation(references.sparkSession, [(o,) for o in sorted(reaching(pairs, roots))], "owner string")
 
 
-def with_recreations(spark: SparkSession, ops: DataFrame, current: Catalog, target: Catalog) -> DataFrame:
+def with_recreations(ops: list[Row], current: Catalog, target: Catalog) -> list[Row]:
     """Add the drop and create of views, policies, triggers and foreign keys that stand in the way
-    of a type change or a dropped column, and take out the alters they replace. The operations that
-    can force any come to the driver once."""
+    of a type change or a dropped column, and take out the alters they replace."""
     from sparkpact.plans.references import catalog_references
 
-    forcing = ops.where("kind = 'column' and (op = 'drop' or op = 'alter' and array_contains(changed, 'data_type')) or kind = 'function' and op = 'drop'").select("op", "kind", "key", "parent", "name").collect()
-    if not forcing:
+    columns = [r for r in ops if r["kind"] == "column" and (r["op"] == "drop" or r["op"] == "alter" and "data_type" in r["changed"])]
+    touched = {r["parent"] for r in columns}
+    typed = {(r["parent"], r["name"]) for r in columns if r["op"] == "alter"}
+    dropped_functions = {r["key"].partition("(")[0] for r in ops if r["kind"] == "function" and r["op"] == "drop"}
+    if not touched and not dropped_functions:
         return ops
-    touched = {r["parent"] for r in forcing if r["kind"] == "column"}
-    typed = {(r["parent"], r["name"]) for r in forcing if r["kind"] == "column" and r["op"] == "alter"}
-    dropped_functions = {r["key"].partition("(")[0] for r in forcing if r["kind"] == "function"}
     references = catalog_references(current)
     forced = {("view", o) for o in reaching([(o, t) for kind, o, t in references if kind == "view"], touched)}
     forced |= {(o.kind, o.key) for o in [*current.of("policy"), *current.of("trigger")] if o.parent in touched}
@@ -155,17 +166,15 @@ def with_recreations(spark: SparkSession, ops: DataFrame, current: Catalog, targ
         if ends & typed:
             forced.add((o.kind, o.key))
     forced |= {(kind, o) for kind, o, t in references if kind in ("policy", "view") and t in dropped_functions}
-    rows = []
+    fields = Row(*(c.split(" ")[0] for c in OP_SCHEMA.split(", ")))
+    more = []
     for kind, key in sorted(forced):
         old, new = current.get(kind, key), target.get(kind, key)
         for op, o in (("drop", old), ("create", new)):
             if o is not None:
-                rows.append((op, kind, key, o.schema, o.parent, o.name, [], old and old.text_attrs(), new and new.text_attrs()))
-    if not rows:
-        return ops
-    more = spark.createDataFrame(rows, OP_SCHEMA)
-    replaced = more.select("kind", "key").distinct()
-    return ops.join(replaced, ["kind", "key"], "left_anti").select(*more.columns).unionByName(more)
+                more.append(fields(op, kind, key, o.schema, o.parent, o.name, [], old and old.text_attrs(), new and new.text_attrs()))
+    replaced = {(r["kind"], r["key"]) for r in more}
+    return [r for r in ops if (r["kind"], r["key"]) not in replaced] + more
 
 
 def apply_ops(current: Catalog, ops: Iterable) -> Catalog:
@@ -199,8 +208,8 @@ def grant_changes(current: DataFrame, target: DataFrame, keys: Sequence[str]) ->
 
 def new_enum_values(spark: SparkSession, current: Sequence[str], target: Sequence[str]) -> DataFrame:
     """(value, position, before, after): added enum values, AFTER the one before, or BEFORE the next if first."""
-    have = spark.createDataFrame([(v,) for v in current], "value string")
-    want = spark.createDataFrame([(v, k, target[k - 1] if k else None, target[1] if not k and len(target) > 1 else None) for k, v in enumerate(target)], "value string, position int, after string, before string")
+    have = local_relation(spark, [(v,) for v in current], "value string")
+    want = local_relation(spark, [(v, k, target[k - 1] if k else None, target[1] if not k and len(target) > 1 else None) for k, v in enumerate(target)], "value string, position int, after string, before string")
     return want.join(have, "value", "left_anti").orderBy("position")
 
 

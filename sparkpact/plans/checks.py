@@ -7,7 +7,7 @@ from collections import defaultdict
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkpact.sources.catalog import Catalog
+from sparkpact.sources.catalog import Catalog, local_relation
 
 LIST = "array<string>"
 
@@ -58,4 +58,4 @@ def circular_foreign_keys(catalog: Catalog) -> list[str]:
 
 def check(spark: SparkSession, catalog: Catalog) -> DataFrame:
     cycles = [("circular_foreign_keys", "warning", t, "") for t in circular_foreign_keys(catalog)]
-    return check_relation(catalog.to_df(spark)).unionByName(spark.createDataFrame(cycles, "rule string, severity string, key string, detail string"))
+    return check_relation(catalog.to_df(spark)).unionByName(local_relation(spark, cycles, "rule string, severity string, key string, detail string"))

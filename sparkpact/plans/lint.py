@@ -6,6 +6,8 @@ import os
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkpact.sources.catalog import local_relation
+
 # Rule ids with what they look at: op, kind, severity, message. Destructive rules are
 # errors unless destructive changes are allowed.
 RULES = [
@@ -60,7 +62,7 @@ def lint_ops(ops: DataFrame, allow_destructive: bool = False, in_production: boo
     """(rule, severity, op, kind, key, message) of operations (the diff's relation) that break a rule."""
     spark = ops.sparkSession
     prod = production() if in_production is None else in_production
-    rules = F.broadcast(spark.createDataFrame(RULES, "rule string, op string, kind string, severity string, destructive boolean, message string"))
+    rules = F.broadcast(local_relation(spark, RULES, "rule string, op string, kind string, severity string, destructive boolean, message string"))
     old, new = F.coalesce("old", F.map_from_arrays(F.array(), F.array()).cast("map<string,string>")), F.coalesce("new", F.map_from_arrays(F.array(), F.array()).cast("map<string,string>"))
     old_type, new_type = F.try_element_at(old, F.lit("data_type")), F.try_element_at(new, F.lit("data_type"))
     width = lambda t: F.when(t == "smallint", 2).when(t == "integer", 4).when(t == "bigint", 8).otherwise(99)
@@ -101,7 +103,7 @@ def lock_of(op: dict, compat: bool = False) -> str | None:
 def lock_hazards(ops: DataFrame, compat: bool = False) -> DataFrame:
     """(op, kind, key, lock) of operations that lock a table, as a join with the table of locks."""
     table = [(a, b, (COMPAT.get((a, b)) if compat else None) or lock) for (a, b), lock in LOCKS.items()]
-    locks = F.broadcast(ops.sparkSession.createDataFrame(table, "op string, kind string, lock string"))
+    locks = F.broadcast(local_relation(ops.sparkSession, table, "op string, kind string, lock string"))
     column = ops.where("op = 'alter' and kind = 'column' and arrays_overlap(changed, array('data_type', 'nullable'))").select("op", "kind", "key", F.lit("ACCESS EXCLUSIVE").alias("lock"))
     return ops.join(locks, ["op", "kind"]).select("op", "kind", "key", "lock").unionByName(column)
 

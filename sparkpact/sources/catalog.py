@@ -12,13 +12,25 @@ import json
 from collections.abc import Iterable
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from sparkpact.functions.types import declared_type
 
 SCHEMA = "kind string, key string, schema string, parent string, name string, attrs map<string,string>"
 
 
+def local_relation(spark: SparkSession, rows: Iterable[tuple], schema: str) -> DataFrame:
+    """A small relation that is part of the plan: no job reads it, and joins see its size."""
+    fields = T.StructType.fromDDL(schema)
+    kinds = [to_arrow_type(f.dataType) for f in fields]
+    columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
+    plain = [[list(v.items()) if isinstance(v, dict) else v for v in c] for c in columns]
+    return spark.createDataFrame(pa.table([pa.array(c, k) for c, k in zip(plain, kinds, strict=True)], names=fields.names), fields)
+
+
 @dataclass(frozen=True)
 class Kind:
     """on_change: alter, recreate (drop and create) or ignore. tier: order of creation."""
@@ -138,7 +150,7 @@ class Catalog:
         return [(o.kind, o.key, o.schema, o.parent, o.name, o.text_attrs()) for _, o in sorted(self.objects.items())]
 
     def to_df(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame(self.rows(), SCHEMA)
+        return local_relation(spark, self.rows(), SCHEMA)
 
     def to_json(self) -> str:
         return json.dumps([list(r) for r in self.rows()], sort_keys=True)

@@ -33,7 +33,7 @@ SOURCES = {
     "enum_labels": "SELECT enumtypid, enumsortorder, enumlabel FROM pg_enum",
     "inherits": "SELECT inhrelid, inhparent FROM pg_inherits",
     "policies": "SELECT oid, polname, polrelid, polcmd::text AS polcmd, ARRAY(SELECT rolname::text FROM pg_roles WHERE oid = ANY (polroles)) AS roles, pg_get_expr(polqual, polrelid) AS using_expr, pg_get_expr(polwithcheck, polrelid) AS check_expr FROM pg_policy",
-    "triggers": "SELECT t.oid, t.tgname, t.tgrelid, t.tgtype, t.tgenabled::text AS tgenabled, n.nspname || '.' || p.proname AS function, t.tgattr::int[] AS columns, CASE WHEN t.tgnargs > 0 THEN (string_to_array(encode(t.tgargs, 'escape'), '\\000'))[1:t.tgnargs] END AS args, substring(pg_get_triggerdef(t.oid) FROM 'WHEN \\((.*)\\) EXECUTE') AS when_expr, t.tgoldtable AS old_table, t.tgnewtable AS new_table, t.tgconstraint <> 0 AS is_constraint, t.tgdeferrable, t.tginitdeferred FROM pg_trigger t JOIN pg_proc p ON p.oid = t.tgfoid JOIN pg_namespace n ON n.oid = p.pronamespace WHERE NOT t.tgisinternal",
+    "triggers": "SELECT t.oid, t.tgname, t.tgrelid, t.tgtype, t.tgenabled::text AS tgenabled, n.nspname || '.' || p.proname AS function, t.tgattr::int2[]::int[] AS columns, CASE WHEN t.tgnargs > 0 THEN (string_to_array(encode(t.tgargs, 'escape'), '\\000'))[1:t.tgnargs] END AS args, substring(pg_get_triggerdef(t.oid) FROM 'WHEN \\((.*)\\) EXECUTE') AS when_expr, t.tgoldtable AS old_table, t.tgnewtable AS new_table, t.tgconstraint <> 0 AS is_constraint, t.tgdeferrable, t.tginitdeferred FROM pg_trigger t JOIN pg_proc p ON p.oid = t.tgfoid JOIN pg_namespace n ON n.oid = p.pronamespace WHERE NOT t.tgisinternal",
     "procedures": f"SELECT p.oid, p.proname, p.pronamespace, p.prokind::text AS prokind, {SIGNATURE} AS types, pg_get_function_arguments(p.oid) AS arguments, pg_get_function_result(p.oid) AS result, l.lanname, p.prosrc, p.provolatile::text AS provolatile, p.prosecdef, p.proconfig AS config, p.proparallel::text AS proparallel, p.proacl::text[] AS acl, pg_get_userbyid(p.proowner) AS owner FROM pg_proc p JOIN pg_language l ON l.oid = p.prolang",
     "aggregates": "SELECT a.aggfnoid::oid AS oid, tn.nspname || '.' || t.proname AS sfunc, format_type(a.aggtranstype, NULL) AS stype, fn.nspname || '.' || f.proname AS finalfunc, a.agginitval AS initcond FROM pg_aggregate a JOIN pg_proc t ON t.oid = a.aggtransfn JOIN pg_namespace tn ON tn.oid = t.pronamespace LEFT JOIN pg_proc f ON f.oid = a.aggfinalfn LEFT JOIN pg_namespace fn ON fn.oid = f.pronamespace",
     "sequences": "SELECT seqrelid, format_type(seqtypid, NULL) AS type, seqstart, seqincrement, seqmin, seqmax, seqcycle, seqcache FROM pg_sequence",
