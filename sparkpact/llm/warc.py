@@ -44,6 +44,9 @@ CAPTURED = "2000-01-01T00:00:00Z"
 TASK_BYTES = 16_000_000
 TASK_RECORDS = 10_000
 TASK_LOOKUPS = 50_000
+#: Payloads that occur more than once are looked up in a broadcast table if there are no more of them
+#: (some 20 MB); beyond that they are joined by a shuffle.
+SENT_DIGESTS = 200_000
 #: Rows of a batch that a task hands on.
 BATCH = 10_000
 
@@ -120,11 +123,14 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     """Write all pages; returns (page string (escaped), key, file, offset, length, type, digest) of each record.
 
     Payloads that occur more than once are found by digest: one aggregation, combined before the
-    shuffle, then a join that Spark may split where one payload is very common.
+    shuffle. If they are few, which is counted, pages stay where they are and look theirs up;
+    else they are joined, which Spark may split where one payload is very common.
     """
     payload = F.coalesce(F.col(html_col), F.lit("")).cast("binary")
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), payload.alias("payload")).withColumn("digest", F.sha1("payload"))
     again = rows.where(F.octet_length("payload") >= revisit_bytes).groupBy("digest").agg(F.max("id").alias("first_id"), F.count("*").alias("n")).where("n > 1").select("digest", "first_id")
+    again = saved(again, "repeated")
+    again = F.broadcast(again) if again.count() <= SENT_DIGESTS else again.hint("merge")
     planned = rows.join(again, "digest", "left").select(F.col("id").cast("string").alias("id"), "url", "payload", F.when(~F.col("id").eqNullSafe(F.col("first_id")), F.col("first_id").cast("string")).alias("refers_to"), "digest")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -449,7 +449,9 @@ def test_surt_keys():
     assert warc.surt_key("http://[2001:DB8::1]:8080/x") == "[2001:db8::1]:8080)/x" and warc.surt_key("http://[::1]/") == "[::1])/"
 
 
-def test_archives(spark):
+@pytest.mark.parametrize("sent", [200_000, 0])
+def test_archives(spark, monkeypatch, sent):
+    monkeypatch.setattr(warc, "SENT_DIGESTS", sent)
     big = "<p>é</p>" * 200
     rows = [(1, "http://a.com/x", big, 0), (2, "http://a.com/x", big, 0), (9, None, big, 0), (3, "http://b.org/\r\nX: y", "small", 0), (4, "http://b.org/", "small", 0), (5, "http://b.org/", None, 0), (5, "http://b.org/", None, 0), (None, "http://c.org/", big, 0)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, offset int")
