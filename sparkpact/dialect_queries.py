@@ -96,7 +96,10 @@ functions(
     "functions_datetime", "SELECT o_orderkey, extract(year FROM o_orderdate) AS y, date_part('month', o_orderdate) AS m, date_trunc('month', o_orderdate) AS t, to_char(o_orderdate, 'YYYY-MM-DD HH24:MI:SS') AS c, o_orderdate::date AS d, make_date(2024, 2, 29) AS md, o_orderdate + interval '1 day' AS next, to_date('03/2020/15', 'MM/YYYY/DD') AS parsed FROM orders", "orders",
     "SELECT o_orderkey, extract(year FROM o_orderdate)::INTEGER AS y, date_part('month', o_orderdate)::INTEGER AS m, date_trunc('month', o_orderdate)::TIMESTAMP AS t, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS c, o_orderdate::DATE AS d, make_date(2024, 2, 29) AS md, o_orderdate + INTERVAL 1 DAY AS next, DATE '2020-03-15' AS parsed FROM orders",
 )
-functions("functions_math", "SELECT p_partkey, abs(p_size - 20) AS a, ceil(p_retailprice) AS c, floor(p_retailprice) AS f, mod(p_size, 7) AS m, power(p_size, 2) AS p, round(sqrt(p_size), 9) AS s, round(ln(p_size + 1), 9) AS l, round(log(10), 9) AS l10, round(log(2, 8), 9) AS lb, sign(p_size - 20) AS g, trunc(p_retailprice) AS t0, trunc(-p_retailprice) AS tn, trunc(p_retailprice, 1) AS t1, round(sin(p_size), 9) AS si, round(atan2(p_size, 3), 9) AS at, round(pi(), 9) AS pi, round(cbrt(27), 9) AS cb, round(degrees(1), 9) AS dg, p_size % 5 AS r FROM part", "part")
+functions(
+    "functions_math", "SELECT p_partkey, abs(p_size - 20) AS a, ceil(p_retailprice) AS c, floor(p_retailprice) AS f, mod(p_size, 7) AS m, power(p_size, 2) AS p, round(sqrt(p_size), 9) AS s, round(ln(p_size + 1), 9) AS l, round(log(10), 9) AS l10, round(log(2, 8), 9) AS lb, sign(p_size - 20) AS g, trunc(p_retailprice) AS t0, trunc(-p_retailprice) AS tn, trunc(p_retailprice, 1) AS t1, round(sin(p_size), 9) AS si, round(atan2(p_size, 3), 9) AS at, round(pi(), 9) AS pi, round(cbrt(27), 9) AS cb, round(degrees(1), 9) AS dg, p_size % 5 AS r FROM part", "part",
+    "SELECT p_partkey, abs(p_size - 20) AS a, ceil(p_retailprice)::BIGINT AS c, floor(p_retailprice)::BIGINT AS f, mod(p_size, 7) AS m, power(p_size, 2) AS p, round(sqrt(p_size), 9) AS s, round(ln(p_size + 1), 9) AS l, round(log(10), 9) AS l10, round(log(2, 8), 9) AS lb, sign(p_size - 20)::DOUBLE AS g, trunc(p_retailprice) AS t0, trunc(-p_retailprice) AS tn, trunc(p_retailprice, 1) AS t1, round(sin(p_size), 9) AS si, round(atan2(p_size, 3), 9) AS at, round(pi(), 9) AS pi, round(cbrt(27), 9) AS cb, round(degrees(1), 9) AS dg, p_size % 5 AS r FROM part",
+)
 functions(
     "functions_string", "SELECT p_partkey, length(p_name) AS l, lower(p_name) AS lo, upper(p_name) AS up, initcap(p_type) AS ic, concat(p_name, NULL, p_size) AS cc, concat_ws('-', p_brand, p_size) AS cw, substring(p_name FROM 2 FOR 3) AS sb, substr(p_name, 3) AS ss, position('a' IN p_name) AS po, strpos(p_name, 'r') AS sp, ltrim('xxay', 'x') AS lt, rtrim('ayxx', 'x') AS rt, trim(both 'x' from 'xax') AS tr, btrim('xax', 'x') AS bt, lpad(p_name, 30, '*') AS lp, rpad(p_name, 30, '*') AS rp, repeat('ab', 3) AS re, reverse(p_name) AS rv, replace(p_name, 'a', 'bb') AS rl, split_part(p_name, ' ', 2) AS spl, left(p_name, 3) AS lf, left(p_name, -2) AS lf2, right(p_name, 2) AS rg, right(p_name, -2) AS rg2, ascii(p_name) AS an, chr(65) AS ch, md5(p_name) AS md, translate(p_name, 'ab', 'xy') AS tl, regexp_replace(p_name, '[aeiou]', '#') AS r1, regexp_replace(p_name, '([aeiou])', '<\\1>', 'g') AS rgx, to_hex(p_size) AS hx, format('%s is %L', p_brand, p_size) AS fm, quote_literal('it''s') AS ql FROM part", "part",
     "SELECT p_partkey, length(p_name)::INTEGER AS l, lower(p_name) AS lo, upper(p_name) AS up, array_to_string(list_transform(string_split(lower(p_type), ' '), lambda w: upper(w[1]) || w[2:]), ' ') AS ic, concat(p_name, NULL, p_size) AS cc, concat_ws('-', p_brand, p_size) AS cw, substring(p_name FROM 2 FOR 3) AS sb, substr(p_name, 3) AS ss, position('a' IN p_name)::INTEGER AS po, strpos(p_name, 'r')::INTEGER AS sp, ltrim('xxay', 'x') AS lt, rtrim('ayxx', 'x') AS rt, trim('xax', 'x') AS tr, trim('xax', 'x') AS bt, lpad(p_name, 30, '*') AS lp, rpad(p_name, 30, '*') AS rp, repeat('ab', 3) AS re, reverse(p_name) AS rv, replace(p_name, 'a', 'bb') AS rl, split_part(p_name, ' ', 2) AS spl, left(p_name, 3) AS lf, left(p_name, -2) AS lf2, right(p_name, 2) AS rg, right(p_name, -2) AS rg2, ascii(p_name) AS an, chr(65) AS ch, md5(p_name) AS md, translate(p_name, 'ab', 'xy') AS tl, regexp_replace(p_name, '[aeiou]', '#') AS r1, regexp_replace(p_name, '([aeiou])', '<\\1>', 'g') AS rgx, lower(to_hex(p_size)) AS hx, p_brand || ' is ''' || p_size || '''' AS fm, '''it''''s''' AS ql FROM part",

@@ -310,12 +310,25 @@ ORACLE_SQL["introspect_assembly"] = (
 
 
 def introspect_convergence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What a diff of the live schema with its declaration leaves: nothing."""
-    from sparkpact.operators.diff import diff
+    """(kind, objects, differences): how many live objects of each kind there are, and in how many a
+    diff with the declaration differs: in none."""
+    from collections import Counter
+
+    from sparkpact.operators.diff import diff_rows
     from sparkpact.sources.ddl import parse_ddl
 
-    return diff(spark, to_catalog(introspect(spark, frames(spark), SCHEMAS)), parse_ddl(DECLARED)).select("op", "kind", "key")
+    live = to_catalog(introspect(spark, frames(spark), SCHEMAS))
+    differ = Counter(r["kind"] for r in diff_rows(spark, live, parse_ddl(DECLARED)))
+    objects = Counter(kind for kind, _ in live.objects)
+    return spark.createDataFrame([(k, objects[k], differ[k]) for k in {*objects, *differ}], "kind string, objects long, differences long")
 
 
 QUERIES["introspect_convergence"] = introspect_convergence
-ORACLE_SQL["introspect_convergence"] = "SELECT '' AS op, '' AS kind, '' AS key WHERE false"
+COUNTED = {
+    "schema": "namespaces WHERE nspname IN ('public', 'audit')", "extension": "extensions", "server": "servers", "enum": "typ WHERE typtype = 'e'", "domain": "typ WHERE typtype = 'd'", "table": "rel WHERE relkind IN ('r', 'p') AND NOT relispartition", "partition": "rel WHERE relispartition", "view": "rel WHERE relkind IN ('v', 'm')",
+    "column": "attributes JOIN rel ON oid = attrelid WHERE relkind IN ('r', 'p') AND NOT relispartition", "primary_key": "constraints WHERE contype = 'p'", "foreign_key": "constraints WHERE contype = 'f'", "check": "constraints WHERE contype = 'c' AND conrelid > 0", "exclusion": "constraints WHERE contype = 'x'",
+    "index": "indexes WHERE indexrelid NOT IN (SELECT conindid FROM constraints WHERE contype = 'x')", "trigger": "triggers", "policy": "policies", "function": "fun WHERE prokind = 'f'", "aggregate": "fun WHERE prokind = 'a'", "sequence": "sequences", "default_privilege": "default_acls WHERE nspname IS NULL OR nspname = 'public'",
+    "comment": "comments WHERE NOT (catalog = 'pg_class' AND objoid IN (SELECT objid FROM owned_by_extensions))", "owner": "(SELECT oid FROM rel WHERE relkind IN ('r', 'p', 'v', 'm', 'S') AND NOT relispartition UNION ALL SELECT oid FROM fun WHERE prokind IN ('f', 'a') UNION ALL SELECT oid FROM typ UNION ALL SELECT oid FROM namespaces WHERE nspname IN ('public', 'audit') UNION ALL SELECT oid FROM servers)",
+    "grant": "(" + " UNION ALL ".join(f"SELECT key FROM ({access(family, rows).replace(*NO_LIST)})" for family, rows in (("table", "SELECT schema || '.' || relname AS subject, acl, owner, NULL AS implied FROM rel"), ("schema", "SELECT nspname AS subject, acl, owner, NULL AS implied FROM namespaces WHERE nspname IN ('public', 'audit')"), ("function", "SELECT proname AS subject, acl, owner, 'EXECUTE' AS implied FROM fun"), ("type", "SELECT typname AS subject, acl, owner, 'USAGE' AS implied FROM typ"))) + ")",
+}
+ORACLE_SQL["introspect_convergence"] = values("namespaces", "owned_by_extensions", *(r for r in RELATIONS if r not in ("namespaces", "owned_by_extensions"))) + "\n" + "\nUNION ALL ".join(f"SELECT '{kind}' AS kind, count(*) AS objects, 0::BIGINT AS differences FROM {rows}" for kind, rows in COUNTED.items())
