@@ -302,9 +302,8 @@ def test_license_scan(spark, odd):
     assert set(found) == {(0, "MIT"), (1, "MIT-notice"), (2, "CC-BY-NC-4.0-notice"), (3, "MIT"), (7, "GPL-3.0-header")}
     assert found[0, "MIT"]["containment"] == 1.0 and 0.8 <= found[3, "MIT"]["containment"] < 1 and found[0, "MIT"]["first_word"] == 240
     assert licenses.scan(odd).count() == 0 and licenses.scan(empty(spark)).count() == 0
-    for offset in range(9):  # wherever a copy begins
-        one = docs(spark, "w " * offset + licenses.TEMPLATES["GPL-3.0-notice"] + " end")
-        assert licenses.scan(one).count() == 1
+    at_offsets = docs(spark, *("w " * offset + licenses.TEMPLATES["GPL-3.0-notice"] + " end" for offset in range(9)))
+    assert sorted(r["doc_id"] for r in licenses.scan(at_offsets).collect()) == [*range(9)]  # wherever a copy begins
 
 
 def test_license_rows_stand_for_themselves(spark, monkeypatch):
@@ -314,8 +313,8 @@ def test_license_rows_stand_for_themselves(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     whole = sorted(map(str, licenses.scan(df).collect()))
     assert [r["doc_id"] for r in licenses.scan(df).orderBy(F.col("doc_id").asc_nulls_first()).collect()] == [None, 5, 5]
-    monkeypatch.setattr(licenses, "PASS_CHARS", 500)
-    assert len(licenses.passes(licenses.TEMPLATES)) > 5 and sorted(map(str, licenses.scan(df).collect())) == whole
+    monkeypatch.setattr(licenses, "PASS_CHARS", 3_000)
+    assert len(licenses.passes(licenses.TEMPLATES)) > 2 and sorted(map(str, licenses.scan(df).collect())) == whole
     assert licenses.scan(df, {}).count() == 0
 
 
