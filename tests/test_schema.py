@@ -17,7 +17,7 @@ from sparkpact.plans.lint import has_errors, lint_ops, lock_of, narrows
 from sparkpact.plans.planner import CycleError, edges, expand_contract, plan, split_ops
 from sparkpact.plans.references import function_references, relation_references, rowtype_references
 from sparkpact.plans.render import body, sql_of, to_json
-from sparkpact.sources.catalog import Catalog, DuplicateObject
+from sparkpact.sources.catalog import Catalog, DuplicateObject, Obj
 from sparkpact.sources.ddl import parse_ddl, unrecognised
 from sparkpact.sources.loader import database_url, expand, load, scrubbed
 
@@ -303,3 +303,80 @@ def test_any_change_converges(spark, a, b):
 def test_dump_round_trip(a):
     c = parse_ddl(ddl_of(a))
     assert parse_ddl("\n".join(lifecycle.dump(c))).fingerprint() == c.fingerprint()
+
+
+def test_equal_canonical_forms_mean_the_same():
+    """Random conditions, with parentheses where they are needed and where they are not: texts with
+    one canonical form have one truth table, and needless parentheses around the whole, around
+    comparisons and around parentheses never make a difference."""
+    import itertools
+    import random
+
+    from sparkpact.functions.normalize import canonical
+
+    rng = random.Random(17)
+    names = ["a", "b", "c"]
+
+    def tree(depth):
+        if not depth or rng.random() < 0.25:
+            return ("cmp", rng.choice(names), rng.choice([">", "<", "="]), rng.choice([0, 1]))
+        kind = rng.choice(["and", "or", "not"])
+        return (kind, tree(depth - 1)) if kind == "not" else (kind, tree(depth - 1), tree(depth - 1))
+
+    def truth(t, row):
+        if t[0] == "cmp":
+            x = row[t[1]]
+            return x > t[3] if t[2] == ">" else x < t[3] if t[2] == "<" else x == t[3]
+        return not truth(t[1], row) if t[0] == "not" else (all if t[0] == "and" else any)([truth(t[1], row), truth(t[2], row)])
+
+    rank = {"or": 0, "and": 1, "not": 2, "cmp": 3}
+
+    def text(t, extra):
+        if t[0] == "cmp":
+            out = f"{t[1]} {t[2]} {t[3]}"
+        elif t[0] == "not":
+            inner = text(t[1], extra)
+            out = f"NOT {inner}" if t[1][0] in ("cmp", "not") and rng.random() < 0.5 else f"NOT ({inner})"
+        else:
+            sides = [f"({text(x, extra)})" if rank[x[0]] < rank[t[0]] or rank[x[0]] == rank[t[0]] and k else text(x, extra) for k, x in enumerate(t[1:])]
+            out = f" {t[0].upper()} ".join(sides)
+        return f"({out})" if rng.random() < extra else out
+
+    rows = [dict(zip(names, v, strict=True)) for v in itertools.product((-1, 0, 1, 2), repeat=3)]
+    seen = {}
+    for _ in range(3_000):
+        t = tree(3)
+        table = tuple(truth(t, r) for r in rows)
+        for extra in (0.0, 0.4, 1.0):
+            form = canonical(text(t, extra))
+            assert seen.setdefault(form, table) == table, form
+        plain = text(t, 0.0)
+        assert canonical(f"(({plain}))") == canonical(plain)
+
+
+CORPUS = {
+    "shop": """CREATE TABLE artist (artist_id serial PRIMARY KEY, name varchar(120)); CREATE TABLE album (album_id serial PRIMARY KEY, title varchar(160) NOT NULL, artist_id int NOT NULL REFERENCES artist (artist_id) ON DELETE CASCADE);
+        CREATE TABLE track (track_id serial PRIMARY KEY, name varchar(200) NOT NULL, album_id int REFERENCES album, milliseconds int NOT NULL CHECK (milliseconds > 0), unit_price numeric(10,2) NOT NULL DEFAULT 0.99); CREATE TABLE list_track (list_id int, track_id int REFERENCES track, PRIMARY KEY (list_id, track_id)); CREATE INDEX track_album ON track (album_id) WHERE album_id IS NOT NULL;""",
+    "service": """CREATE TYPE plan AS ENUM ('free', 'pro'); CREATE DOMAIN email AS text CHECK (VALUE ~ '^[^@]+@[^@]+$'); CREATE TABLE org (id bigint GENERATED ALWAYS AS IDENTITY PRIMARY KEY, slug text UNIQUE NOT NULL, plan plan NOT NULL DEFAULT 'free'); CREATE TABLE member (id bigserial PRIMARY KEY, org_id bigint NOT NULL REFERENCES org (id), mail email NOT NULL, created_at timestamptz NOT NULL DEFAULT now());
+        ALTER TABLE member ENABLE ROW LEVEL SECURITY; CREATE POLICY own ON member USING (org_id IN (SELECT o.id FROM org o WHERE o.plan = 'pro')); CREATE VIEW active AS WITH m AS (SELECT org_id, count(*) FILTER (WHERE mail IS NOT NULL) AS n FROM member GROUP BY org_id) SELECT o.slug, coalesce(m.n, 0) AS n FROM org o LEFT JOIN m ON m.org_id = o.id; CREATE MATERIALIZED VIEW monthly AS SELECT date_trunc('month', created_at) AS month, count(*) AS n FROM member GROUP BY 1;
+        GRANT SELECT ON member TO reader WITH GRANT OPTION; COMMENT ON TABLE org IS 'it''s a customer';""",
+    "events": """CREATE TABLE ev (id bigserial, kind text NOT NULL, payload jsonb, at timestamp NOT NULL) PARTITION BY RANGE (at); CREATE TABLE ev_1 PARTITION OF ev FOR VALUES FROM ('2024-01-01') TO ('2024-02-01'); CREATE TABLE ev_rest PARTITION OF ev DEFAULT; CREATE TABLE note (channel text) PARTITION BY LIST (channel); CREATE TABLE note_a PARTITION OF note FOR VALUES IN ('a', 'b');
+        CREATE TABLE booking (id int PRIMARY KEY, room int NOT NULL, during tstzrange NOT NULL, CONSTRAINT once EXCLUDE USING gist (room WITH =, during WITH &&)); CREATE TABLE price (cents int NOT NULL, rate numeric(5,4) NOT NULL, gross numeric(12,2) GENERATED ALWAYS AS (round(cents * (1 + rate) / 100, 2)) STORED);""",
+    "audit": """CREATE SCHEMA app; CREATE SEQUENCE app.invoice_no START 1000 INCREMENT 5 CACHE 10; CREATE TABLE app.account (id bigint PRIMARY KEY, status text NOT NULL DEFAULT 'new', balance numeric(15,2) CHECK (balance >= 0)); CREATE TABLE app.log (account_id bigint, old_value text, new_value text);
+        CREATE FUNCTION app.note() RETURNS trigger LANGUAGE plpgsql AS $$BEGIN IF OLD.status IS DISTINCT FROM NEW.status THEN INSERT INTO app.log VALUES (NEW.id, OLD.status, NEW.status); END IF; RETURN NEW; END$$; CREATE TRIGGER note AFTER UPDATE OF status ON app.account FOR EACH ROW WHEN (OLD.status IS DISTINCT FROM NEW.status) EXECUTE FUNCTION app.note();
+        CREATE FUNCTION app.glue(a text, b text) RETURNS text LANGUAGE sql IMMUTABLE AS 'SELECT concat(a, b)'; CREATE AGGREGATE app.glue_all(text) (SFUNC = app.glue, STYPE = text, INITCOND = ''); ALTER DEFAULT PRIVILEGES IN SCHEMA app GRANT SELECT ON TABLES TO reader; ALTER TABLE app.account OWNER TO boss;""",
+}
+
+
+@pytest.mark.parametrize("name", sorted(CORPUS))
+def test_corpora_converge(spark, name):
+    """A schema that is dumped, read back and compared leaves nothing to do; so does a plan from
+    nothing, and the way back from the plan to nothing."""
+    declared = parse_ddl(CORPUS[name])
+    found = lifecycle.baseline(spark, declared)
+    assert found["differences"] == [] and found["fingerprints_equal"]
+    there = lifecycle.migration(spark, Catalog(), declared)["ops"]
+    as_text = [{**o, "new": o["new"] and Obj(o["kind"], "", "", "", o["new"]).text_attrs()} for o in there]
+    assert lifecycle.verify(spark, apply_ops(Catalog(), as_text), declared) == []
+    back = lifecycle.migration(spark, declared, Catalog(), allow_destructive=True)["ops"]
+    assert not apply_ops(declared, back).objects.keys() - {("schema", "app"), ("owner", "table app.account")}
