@@ -6,9 +6,10 @@ marks and indents, tables with aligned cells, preformatted text as it is, nothin
 by its tag, by attributes, or by rules of the page's own style sheets for a tag, a class, an id or
 some of these together (selectors over several elements, media rules and scripts are not followed).
 
-Work and output are linear in the page. Cells are wrapped at CELL_WIDTH columns; a table of more
-than TABLE_WIDTH columns of text is given row by row without padding; what is nested deeper than
-NESTED lists, quotes, cells and tables is not indented further.
+Work and output are linear in the page. Cells are wrapped at CELL_WIDTH columns, in tables of any
+number of rows; a table of more than TABLE_WIDTH columns of text is given row by row without
+wrapping and padding; what is nested deeper than NESTED lists, quotes, cells and tables is not
+indented further.
 """
 
 from __future__ import annotations
@@ -434,32 +435,37 @@ def wrapped(line: str) -> list[str]:
 Cell = tuple[list[str], int, int]
 
 
-def placed_cells(rows: list[list[Cell]]) -> list[list[tuple[int, int, list[str]]]]:
-    """(column, columns, lines) of each row's cells; a cell that covers rows below keeps its columns there."""
-    out, held = [], []  # held: (first column, columns, rows left)
-    for row in rows:
-        busy = sorted(held)
+def placed_cells(rows: list[list[Cell]]) -> list[list[tuple[int, int, list[str]]]] | None:
+    """(column, columns, lines) of each row's cells; a cell that covers rows below keeps its columns there.
+    None if the marks between the columns alone are wider than TABLE_WIDTH, so no row has many columns to look at."""
+    out, held = [], []  # held: (first column, columns, last row), by column
+    ends = len(rows)  # the first of the last rows
+    for number, row in enumerate(rows, 1):
         places: list[tuple[int, int, list[str]]] = []
         at = k = 0
         covering = []
         for lines, n, down in row:
-            while k < len(busy) and busy[k][0] < at + n:
-                at = max(at, busy[k][0] + busy[k][1])
+            while k < len(held) and held[k][0] < at + n:
+                at = max(at, held[k][0] + held[k][1])
                 k += 1
+            if 3 * (at + n - 1) > TABLE_WIDTH:
+                return None
             places.append((at, n, lines))
             if down > 1:
-                covering.append((at, n, down))
+                covering.append((at, n, number + down - 1))
             at += n
         out.append(places)
-        held = [(c, n, left - 1) for c, n, left in [*held, *covering] if left > 1]
+        if covering or number >= ends:
+            held = sorted(x for x in [*held, *covering] if x[2] > number)
+            ends = min((x[2] for x in held), default=len(rows))
     return out
 
 
 def table_lines(rows: list[list[Cell]]) -> list[str]:
     """Rows of (cell lines, columns, rows that it covers), each column as wide as its widest cell;
-    without padding where that would be wider than TABLE_WIDTH."""
-    plain = sum(n for row in rows for _, n, _ in row) > 50 * TABLE_WIDTH
-    placed = [] if plain else placed_cells([[([part for line in lines for part in wrapped(line)], n, down) for lines, n, down in row] for row in rows])
+    without padding where that would be wider than TABLE_WIDTH, whatever the number of rows."""
+    found = placed_cells(rows)
+    placed = [[(at, n, [part for line in lines for part in wrapped(line)]) for at, n, lines in row] for row in found or []]
     columns = max((at + n for row in placed for at, n, _ in row), default=0)
     wide = [0] * columns
     for spanning in (False, True):
@@ -470,7 +476,7 @@ def table_lines(rows: list[list[Cell]]) -> list[str]:
                     wide[at] = max(wide[at], need)
                 elif spanning:
                     wide[at + n - 1] += max(0, need - sum(wide[at : at + n]) - 3 * (n - 1))
-    if plain or sum(wide) + 3 * max(0, columns - 1) > TABLE_WIDTH:
+    if found is None or sum(wide) + 3 * max(0, columns - 1) > TABLE_WIDTH:
         out = []
         for row in rows:
             short: list[str] = []
@@ -480,9 +486,10 @@ def table_lines(rows: list[list[Cell]]) -> list[str]:
                     short = []
                 else:
                     short += lines or [""]
-            line = " | ".join(short).rstrip(" |")
-            if line:
-                out.append(line)
+            while short and not short[-1]:
+                short.pop()
+            if short:
+                out.append(" | ".join(short))
         return out
     edges = [0]
     for w in wide:

@@ -649,6 +649,54 @@ def test_a_wide_table_is_not_padded():
     assert len(text) < 2 * len(page) and text.count("c") == 1_000
 
 
+def brute_table(rows):
+    """An aligned table of cells of one line, from a grid that knows each place taken."""
+    taken, placed = set(), []
+    for r, row in enumerate(rows):
+        at = 0
+        for text, n, down in row:
+            while any((r, c) in taken for c in range(at, at + n)):
+                at += 1
+            placed.append((r, at, n, text))
+            taken.update((x, c) for x in range(r, min(len(rows), r + down)) for c in range(at, at + n))
+            at += n
+    wide = [max([len(text) for _, at, n, text in placed if (at, n) == (c, 1)], default=0) for c in range(max(at + n for _, at, n, _ in placed))]
+    for _, at, n, text in placed:
+        if n > 1:
+            wide[at + n - 1] += max(0, len(text) - sum(wide[at : at + n]) - 3 * (n - 1))
+    assert sum(wide) + 3 * (len(wide) - 1) <= html_text.TABLE_WIDTH
+    lines = [""] * len(rows)
+    for r, at, _, text in placed:
+        lines[r] = (lines[r].ljust(sum(wide[:at]) + 3 * at - 3) + " | " if at else "") + text
+    return "\n".join(line.rstrip(" ") for line, row in zip(lines, rows) if any(text for text, _, _ in row))
+
+
+@pytest.mark.parametrize("n", [2, 40, 7_000])
+def test_tables_of_any_length_are_aligned(n):
+    """Narrow tables, up to some 20,000 cells, are laid out as short ones are."""
+    head = f"<table><tr><td>{'word ' * 16}<td>b"
+    lines = [("word " * 12).ljust(60) + "| b", ("word " * 4).ljust(60) + "|", *["a".ljust(60) + "| b"] * n]
+    assert html_text.visible_text(head + "<tr><td>a<td>b" * n + "</table>").split("\n") == lines
+    rng = random.Random(n)
+    rows = [[("first", 1, 1)] + [(rng.choice(["a", "bb", "1,234", "in two", "|", ""]), rng.choice([1] * 9 + [2]), rng.choice([1] * 9 + [2, 3])) for _ in range(rng.randrange(5))] for _ in range(n)]
+    page = "<table>" + "".join("<tr>" + "".join(f"<td colspan={c} rowspan={d}>{text}" for text, c, d in row) for row in rows) + "</table>"
+    assert html_text.visible_text(page) == brute_table(rows)
+
+
+def test_a_wide_table_keeps_the_bars_of_its_cells():
+    wide = "".join(f"<td>{c * 90}" for c in "xyz")
+    assert html_text.visible_text(f"<table><tr>{wide}<tr><td>a<td>||<td><tr><td><td>b |<tr><td><td></table>").split("\n")[1:] == ["a | ||", " | b |"]
+
+
+@pytest.mark.parametrize(("row", "n", "rest", "m"), [("<td rowspan=65534>" * 80, 1, "<tr><td>x", 30_000), ("<td rowspan=9999>" * 30, 1_000, "<tr><td>x", 10_000), ("<td colspan=100>y" * 30_000, 1, "<tr><td>x", 10), ("<td rowspan=60>x", 10_000, "", 0)])
+def test_work_on_long_tables_is_linear(row, n, rest, m):
+    page = "<table>" + ("<tr>" + row) * n + rest * m
+    began = time.process_time()
+    text = html_text.visible_text(page)
+    assert text.count("x") == page.count("x") and len(text) < 30 * len(page)
+    assert time.process_time() - began < 30
+
+
 def plain_words(page):
     """Words of a page by the standard library's parser, without layout."""
     import html.parser
